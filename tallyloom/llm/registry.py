@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import exact_dedup
+from tallyloom.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 
