@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, exact_dedup
+from tallyloom.llm import bpe, exact_dedup, line_dedup
 
 QUERIES = {
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op7_site_line_dedup": line_dedup.op7_site_line_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op7_site_line_dedup": line_dedup.OP7_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
