@@ -32,7 +32,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy", partition_by: str | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared scratch folder and returns the reading of it.
 
     This cuts the lineage: a lost executor costs no more than the stage that runs, and a table that several
