@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, exact_dedup, line_dedup, pii
+from tallyloom.llm import bpe, decontaminate, exact_dedup, line_dedup, pii
 
 QUERIES = {
+    "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
     "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op7_site_line_dedup": line_dedup.op7_site_line_dedup,
