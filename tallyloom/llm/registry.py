@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, decontaminate, exact_dedup, line_dedup, pii
+from tallyloom.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, pii, toxicity
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op6_language_id": langid.op6_language_id,
     "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
     "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
