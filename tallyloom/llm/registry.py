@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, pii, toxicity
+from tallyloom.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pii, toxicity
 
 QUERIES = {
+    "op10_minhash_groups": near_dedup.op10_minhash_groups,
     "op8_toxicity": toxicity.op8_toxicity,
     "op6_language_id": langid.op6_language_id,
     "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
