@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, decontaminate, exact_dedup, katz, langid, line_dedup, near_dedup, pii, toxicity
+from tallyloom.llm import bpe, decontaminate, exact_dedup, katz, langid, line_dedup, near_dedup, pii, substring_dedup, toxicity
 
 QUERIES = {
+    "op9_repeated_bytes": substring_dedup.op9_repeated_bytes,
     "op1_katz_scores": katz.op1_katz_scores,
     "op10_minhash_groups": near_dedup.op10_minhash_groups,
     "op8_toxicity": toxicity.op8_toxicity,
