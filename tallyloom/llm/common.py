@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,9 +48,14 @@ def materialize(df: DataFrame, codec: str = "snappy", partition_by: str | None =
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that no live DataFrame needs; it acts when both garbage collectors have run."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files that no live DataFrame needs.
+
+    It acts on what the JVM's collector found unreachable, and that on what Python's collector let go of.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

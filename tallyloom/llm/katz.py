@@ -43,7 +43,7 @@ from tallyloom.llm.words import mix, random_values, text_buffer, word_hashes
 #: Counts up to K are discounted.
 K = 5
 #: Bytes of text whose bigrams are counted together before they are dealt out.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 _U = np.uint64
 START, END = random_values(2, 911)
 _META = -1
@@ -103,6 +103,13 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """All parts in one array; the list is emptied, so that its parts' memory can go."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(histories, words, number of tokens of each text); every text has an end token."""
     hashes, ends = word_hashes(*text_buffer(texts))
@@ -177,7 +184,8 @@ def _merge_bigrams(pieces: list[tuple[int, bytes]], unigrams: Unigrams, keys: np
     entries, the entries' chunk, document and number, and the chunks' numbers.
     """
     ws, hs, each, docs, nums, held, chunk_at, chunks = [], [], [], [], [], [], [], []
-    for chunk, data in pieces:
+    while pieces:
+        chunk, data = pieces.pop()
         uw, of_word, uh, hi, n, ds, cs, bits, size = unpack(data)
         ws.append(np.repeat(np.cumsum(uw), of_word))
         hs.append(np.cumsum(uh)[hi])
@@ -187,9 +195,7 @@ def _merge_bigrams(pieces: list[tuple[int, bytes]], unigrams: Unigrams, keys: np
         held.append(np.unpackbits(bits, count=int(size[0])).astype(bool)[ds])
         chunk_at.append(np.full(len(ds), len(chunks), np.uint32))
         chunks.append(chunk)
-    w, h, n = np.concatenate(ws), np.concatenate(hs), np.concatenate(each)
-    doc, num, out_of, at = np.concatenate(docs), np.concatenate(nums), np.concatenate(held), np.concatenate(chunk_at)
-    del ws, hs, each, docs, nums, held, chunk_at
+    w, h, n, doc, num, out_of, at = (_joined(x) for x in (ws, hs, each, docs, nums, held, chunk_at))
     trained = np.add.reduceat(np.where(out_of, 0, num).astype(np.int64), np.cumsum(n) - n)
     order = np.lexsort((h, w))
     w, h, starts, n, trained = w[order], h[order], (np.cumsum(n) - n)[order], n[order], trained[order]
@@ -223,7 +229,7 @@ def bigram_table(docs: DataFrame, unigrams: Unigrams, hot, n: int) -> DataFrame:
     """The bigrams of all rows, one row per bucket; and the chunks' own rows (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[int, bytes]]] = {}
+        by: dict[int, list[tuple[int, bytes]]] = {}  # a partition has one bucket
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary()), ("hot", pa.binary()), ("counts", pa.list_(pa.int64()))])
         for b in batches:
             for bucket, chunk, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
