@@ -142,12 +142,18 @@ def _items(name: str, shared) -> Items:
     return _LOADED[name]
 
 
+def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of about ``block_chars`` characters; at least one block."""
+    usable = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(strip_ws(text_or_empty("text")) != "")
+    total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // block_chars) or 1
+    for k in range(n):
+        yield [(r[0], r[1]) for r in usable.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end (of the normalised text): each item's best occurrence in each document that holds it."""
     spark = docs.sparkSession
-    usable = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(strip_ws(text_or_empty("text")) != "")
-    total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_chars) or 1
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
@@ -171,11 +177,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
 
         return picked.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, distance long, start long, end long")
 
-    parts = []
-    for k in range(n_blocks):
-        block = usable.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect()
-        parts.append(scan([(r[0], r[1]) for r in block]))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, map(scan, _item_blocks(items, item_id, item_text, block_chars)))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows whose text holds no item, with all their columns, in one pass for each block of items."""
+    at = docs.columns.index(text_col)
+    for block in _item_blocks(items, item_id, item_text, block_chars):
+        docs = _clean_rows(docs, at, text_col, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((block, rate)))
+    return docs
+
+
+def _clean_rows(docs: DataFrame, at: int, text_col: str, name: str, shared) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _items(name, shared)
+        for b in blocks(batches, 16 << 20, text_col):
+            yield b.filter(pa.array([not held.matches(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyloom.llm.common import blocks, read_table, short_id
 from tallyloom.llm.sample import per_class
@@ -148,17 +149,25 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model([t for _, t in picked], [y for y, _ in picked])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All rows and columns with lang_pred and score (which replace columns of these names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            names, scores = shared.value.predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+        for b in blocks(batches, column=text_col):
+            names, scores = shared.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score."""
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_language(picked, model).drop("text")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
