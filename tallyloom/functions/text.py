@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import STOPWORDS
 
+#: White space that trimming takes off.
+SPACES = " \t\n\x0b\f\r"
 #: What the cleaner keeps besides white space, as a character class.
 HANGUL, ASCII = "가-힣0-9", "a-z0-9"
 
@@ -25,17 +27,21 @@ def tokens(cleaned: Column, stopwords: list[str] | None = None) -> Column:
     return F.filter(F.split(cleaned, " "), keep)
 
 
+def trimmed(c: Column) -> Column:
+    return F.trim(c, F.lit(SPACES))
+
+
 def sentences(text: Column) -> Column:
     """Parts between sentence ends and double spaces, trimmed, without empty ones."""
     parts = F.flatten(F.transform(F.split(text, r"[.?!。]\s*"), lambda s: F.split(s, "  ")))
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
 
 def speech(items: Column) -> Column:
     """The child's non-blank answers of a record's ``list`` column, trimmed, in document order."""
     segments = F.flatten(F.transform(items, lambda q: F.flatten(F.transform(q["list"], lambda i: i["audio"]))))
-    said = F.filter(segments, lambda s: (s["type"] == "A") & (F.trim(s["text"]) != ""))
-    return F.transform(said, lambda s: F.trim(s["text"]))
+    said = F.filter(segments, lambda s: (s["type"] == "A") & (trimmed(s["text"]) != ""))
+    return F.transform(said, lambda s: trimmed(s["text"]))
 
 
 def qa_pairs(turns: DataFrame, group: list[str], order: str, kind: str, text: str, question: str = "Q", answer: str = "A", none: str = "(질문 없음)") -> DataFrame:
