@@ -6,10 +6,12 @@ between two documents with the probability of their Jaccard similarity.  The val
 two sets of similarity 0.8 miss all 32 bands with a probability of 5e-8.  Documents with a common band are
 candidates, and a link is confirmed on the full sets, in whole numbers.
 
-Copies are one node: what follows sees distinct sets only.  Within a bucket not all pairs are compared.  First
-every node is compared with one centre, the smallest node among its buckets; then, in buckets that still hold
-more than one component, the nodes outside the centre's component are compared with all nodes of other
-components.  What remains uncompared is already connected, so the components are those of all candidates.
+Copies are one node: what follows sees distinct sets only.  Within a bucket not all pairs are emitted.  First
+every node is compared with one centre, the smallest node among its buckets.  Buckets that still hold more than
+one component are open; nodes that open buckets connect form a cluster.  A cluster's nodes are dealt into blocks of
+about ``BLOCK``, every two blocks meet in one task, and a product of their presence matrices counts all
+intersections at once; only links between different components come out.  What remains uncompared is connected
+already, so the components are those of all candidates.
 
 Nodes, pairs and components stay tables.  Sets travel once for each comparison, of candidates only.
 
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import blocks, materialize, read_table, text_or_empty
+from tallyloom.llm.common import blocks, materialize, partitions, read_table, text_or_empty
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.words import each_text_words, mix, random_values, shingles
 
 PERMUTATIONS, BAND = 64, 4
+#: Nodes of a block; shingles that one matrix product covers.
+BLOCK, COLUMNS = 256, 4096
 _U = np.uint64
 _MULTIPLIERS = random_values(PERMUTATIONS, 301) | _U(1)
 _OFFSETS = random_values(PERMUTATIONS, 302)
@@ -117,11 +121,77 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, centre, node, label of the buckets with several components."""
+    named = members.select("bucket", "centre", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    return materialize(named.join(mixed, "bucket", "left_semi"))
+
+
+def _block_links(rows: list[tuple[bytes, bytes, bytes, int]], pair: tuple[int, int], percent: int) -> tuple[list[bytes], list[bytes]]:
+    """The links between different labels, of one block or of two with each other: rows of node, label, set, block."""
+    sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    shared = counts[inverse] > 1
+    column = np.cumsum(counts > 1)[inverse[shared]] - 1
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
+        x, y = np.searchsorted(column, (at, at + COLUMNS))
+        m = np.zeros((len(rows), min(COLUMNS, width - at)), np.float32)
+        m[owner[x:y], column[x:y] - at] = 1
+        common += m @ m.T
+    common = common.astype(np.int64)
+    _, label = np.unique([r[1] for r in rows], return_inverse=True)
+    block = np.array([r[3] for r in rows])
+    good = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (label[:, None] < label[None, :])
+    if pair[0] != pair[1]:
+        good &= block[:, None] != block[None, :]
+    a, b = np.nonzero(good)
+    return [rows[i][0] for i in a], [rows[i][0] for i in b]
+
+
+def _cluster_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between different labels within the clusters of open buckets."""
+    spark = open_.sparkSession
+    clusters = connected_components(open_.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    nodes = open_.select("node", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "node")
+    sized = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = nodes.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "label", "shingles", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            a, b = _block_links(rows, key[1:], percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for cluster, x, y, node, label, shingled, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, x, y) != key:
+                    if len(rows) > 1:
+                        yield links()
+                    key, rows = (cluster, x, y), []
+                rows.append((node, label, shingled, block))
+        if len(rows) > 1:
+            yield links()
+
+    dealt = dealt.repartition(partitions(spark), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of its component), kept, node."""
     rows = materialize(signatures(docs, size, id_col, text_col))
-    nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    of_bucket = nodes.select("node", "n", "text_hash", F.explode("bands").alias("bucket"))
+    nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("text_hash").alias("text_hash"), F.first("bands").alias("bands")))
+    of_bucket = nodes.select("node", "text_hash", F.explode("bands").alias("bucket"))
     buckets = of_bucket.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialize(of_bucket.join(buckets.select("bucket", "centre"), "bucket"))
 
@@ -130,24 +200,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = materialize(confirm(first, sets, percent))
     labels = connected_components(links)
 
-    named = members.join(labels, "node", "left").select("bucket", "node", "n", "centre", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket", F.col("low").alias("main"))
-    open_ = materialize(named.join(mixed, "bucket"))
-    x = open_.where("label != main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    second = x.join(y, "bucket").where((F.col("la") != F.col("lb")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(confirm(materialize(second), sets, percent))
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    open_ = _open_buckets(members, labels)
+    if not open_.isEmpty():
+        more = materialize(_cluster_links(open_, sets, percent))
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
 
     grouped = nodes.join(labels, "node", "left").select("node", "min_id", F.coalesce("label", "node").alias("label"))
     lowest = grouped.groupBy("label").agg(F.min("min_id").alias("component_id"))
     by_node = materialize(grouped.join(lowest, "label").select("node", "component_id"))
-    found = rows.drop("bands", "text_hash").join(by_node, "node", "left")
+    found = rows.drop("bands").join(by_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node", "text_hash")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with one document of each group, that of the smallest id, and all their columns.
+
+    Of repeated rows one stays.
+    """
+    found = near_duplicates(docs, size, percent, id_col, text_col)
+    kept = materialize(found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")))
+    texts = docs.withColumn("_hash", F.xxhash64(text_or_empty(text_col)))
+    out = texts.join(kept, texts[id_col].eqNullSafe(kept["doc_id"]) & (texts["_hash"] == kept["text_hash"]), "left_semi")
+    if not kept.where("copies > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "_hash"])
+    return out.drop("_hash")
 
 
 def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), size=4).drop("node")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=4).drop("node", "text_hash")
