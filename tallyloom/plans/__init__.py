@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def catalog() -> tuple[dict, dict[str, str]]:
     """(queries, oracle SQL) of all plan modules."""
-    from tallyloom.plans import words
+    from tallyloom.plans import sets, words
 
     queries, sql = {}, {}
-    for module in (words,):
+    for module in (words, sets):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql
