@@ -15,8 +15,9 @@ _text = lambda *names: [StructField(n, StringType()) for n in names]  # noqa: E7
 AUDIO = ArrayType(StructType(_text("type", "text")))
 ITEMS = ArrayType(StructType([*_text("항목", "점수"), StructField("audio", AUDIO)]))
 QUESTIONS = ArrayType(StructType([*_text("문항", "문항합계"), StructField("list", ITEMS)]))
-INFO = StructType(_text("ID", "id", "Id", "합계점수", "위기단계", "성별", "나이", "학년", "임상진단", "임상가 종합소견", "학대의심", "가정환경"))
-SCHEMA = StructType([StructField("info", INFO), StructField("list", QUESTIONS), StructField("_corrupt_record", StringType())])
+INFO = StructType(_text("ID", "합계점수", "위기단계", "성별", "나이", "학년", "임상진단", "임상가 종합소견", "학대의심", "가정환경"))
+#: ``info`` comes as text, for its id has several spellings that differ in case alone.
+SCHEMA = StructType([StructField("info", StringType()), StructField("list", QUESTIONS), StructField("_corrupt_record", StringType())])
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -26,14 +27,16 @@ def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """
     reader = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     raw = reader.option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive).json(path)
-    named = raw.withColumn("source_file", F.col("_metadata.file_path"))
+    ident = F.coalesce(*(F.get_json_object("info", f"$.{k}") for k in ("ID", "id", "Id")))
+    parsed = F.from_json("info", INFO).withField("ID", ident)
+    named = raw.withColumn("source_file", F.col("_metadata.file_path")).withColumn("info", F.when(F.col("info").isNotNull(), parsed))
     return named.where(F.col("_corrupt_record").isNull() & (F.col("info").isNotNull() | F.col("list").isNotNull())).drop("_corrupt_record")
 
 
 def doc_id(info: Column, source_file: Column) -> Column:
     """The record's id, or its file's stem."""
     stem = F.regexp_extract(source_file, r"([^/]+?)(?:\.json)?$", 1)
-    return F.coalesce(info["ID"], info["id"], info["Id"], stem)
+    return F.coalesce(info["ID"], stem)
 
 
 def gt_text(info: Column) -> Column:
