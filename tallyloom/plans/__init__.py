@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def catalog() -> tuple[dict, dict[str, str]]:
     """(queries, oracle SQL) of all plan modules."""
-    from tallyloom.plans import models, sets, words
+    from tallyloom.plans import models, sets, sweeps, words
 
     queries, sql = {}, {}
-    for module in (words, sets, models):
+    for module in (words, sets, models, sweeps):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql
