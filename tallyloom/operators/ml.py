@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +80,79 @@ def rerank(scores: DataFrame, bridge_scores: DataFrame, key: str, labels: list[s
     picked = F.filter(F.array(*(F.when(F.col(f"p_{c}") + lam * F.coalesce(f"b_{c}", F.lit(0.0)) > 0.5 + tau, F.lit(c)) for c in labels)), lambda x: x.isNotNull())
     pred = F.array_union(F.array(anchor), picked) if anchor else picked
     return j.select(key, pred.alias("pred"))
+
+
+def classifier_chain(rows: DataFrame, labels: list[str], set_col: str, key: str = "doc_id", tokens_col: str = "toks", k: int = 3, seed: int = 42) -> DataFrame:
+    """key and one out-of-fold probability for each label; each label's model also sees the labels before it.
+
+    Training uses the true earlier labels, prediction the predicted ones (probability above 0.5).
+    """
+    dealt = folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed).persist()
+    parts = []
+    for f in range(k):
+        train = dealt.where(F.col("fold") != f)
+        features = tfidf(tokens_col).fit(train)
+        tr, te = features.transform(train), features.transform(dealt.where(F.col("fold") == f)).select(key, "features")
+        n = tr.count()
+        for i, c in enumerate(labels):
+            tr = tr.withColumn(f"_y{i}", F.array_contains(set_col, c).cast("double"))
+            ones = tr.agg(F.sum(f"_y{i}")).first()[0]
+            if not n or ones in (None, 0, n):
+                te = te.withColumn(f"p_{c}", F.lit(float(bool(ones)))).withColumn(f"_y{i}", F.lit(float(bool(ones))))
+                continue
+            joined = VectorAssembler(inputCols=["features", *(f"_y{j}" for j in range(i))], outputCol="_x")
+            m = LogisticRegression(labelCol=f"_y{i}", featuresCol="_x", regParam=1.0 / n, standardization=False, maxIter=50).fit(joined.transform(tr))
+            te = m.transform(joined.transform(te)).withColumn(f"p_{c}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "_x")
+            te = te.withColumn(f"_y{i}", (F.col(f"p_{c}") > 0.5).cast("double"))
+        parts.append(te.select(key, *(f"p_{c}" for c in labels)))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def soft_label_ridge(rows: DataFrame, soft: str, names: list[str], key: str = "doc_id", tokens_col: str = "toks", k: int = 3, alpha: float = 1.0, seed: int = 42) -> DataFrame:
+    """key, q: out-of-fold ridge regressions of each class's soft label, clipped at 0 and normalised."""
+    dealt = folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed).persist()
+    parts = []
+    for f in range(k):
+        train = dealt.where(F.col("fold") != f)
+        features = tfidf(tokens_col, bigrams=False).fit(train)
+        tr, te = features.transform(train), features.transform(dealt.where(F.col("fold") == f)).select(key, "features")
+        n = max(1, tr.count())
+        for i in range(len(names)):
+            m = LinearRegression(labelCol="_t", regParam=alpha / n, elasticNetParam=0.0, standardization=False, maxIter=50, solver="l-bfgs").fit(tr.withColumn("_t", F.col(soft)[i]))
+            te = m.transform(te).withColumnRenamed("prediction", f"_q{i}")
+        q = F.array(*(F.greatest(f"_q{i}", F.lit(0.0)) for i in range(len(names))))
+        s = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
+        parts.append(te.select(key, F.when(s > 0, F.transform(q, lambda x: x / s)).otherwise(F.transform(q, lambda x: F.lit(1.0 / len(names)))).alias("q")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def bridge_scores(docs: DataFrame, weights: DataFrame, bridges: DataFrame, main: str, labels: list[str], key: str = "doc_id") -> DataFrame:
+    """key and b_{label}: the sum of weight * p2 over the document's bridge words between its main label and that label.
+
+    ``weights``: key, word, weight; ``bridges``: word, primary, secondary, p2.
+    """
+    j = docs.select(key, F.col(main).alias("_m")).join(weights, key).join(bridges.select("word", "primary", "secondary", "p2"), "word")
+    partner = F.when(F.col("_m") == F.col("primary"), F.col("secondary")).when(F.col("_m") == F.col("secondary"), F.col("primary"))
+    g = j.withColumn("_to", partner).where("_to is not null").groupBy(key).agg(*(F.sum(F.when(F.col("_to") == c, F.col("weight") * F.col("p2")).otherwise(0.0)).alias(f"b_{c}") for c in labels))
+    return docs.select(key).join(g, key, "left").select(key, *(F.coalesce(f"b_{c}", F.lit(0.0)).alias(f"b_{c}") for c in labels))
+
+
+def seed_variance(rows: DataFrame, label: str, kind: str = "lr", seeds: tuple[int, ...] = (1, 2, 3), k: int = 3, key: str = "doc_id") -> DataFrame:
+    """key, variance: the mean variance of the out-of-fold probabilities over fold seeds."""
+    parts = None
+    for s in seeds:
+        x = cross_validate(rows, label, kind, k, key, seed=s).select(key, F.posexplode("p").alias("c", "p"))
+        parts = x if parts is None else parts.unionByName(x)
+    return parts.groupBy(key, "c").agg(F.var_pop("p").alias("v")).groupBy(key).agg(F.avg("v").alias("variance"))
+
+
+def word_vectors(docs: DataFrame, tokens_col: str = "toks", size: int = 100, window: int = 5, min_count: int = 5, iterations: int = 5, seed: int = 42) -> DataFrame:
+    """word, vector by skip-gram with hierarchical softmax."""
+    m = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, seed=seed, numPartitions=1, inputCol=tokens_col, outputCol="_v").fit(docs.select(tokens_col))
+    return m.getVectors().select("word", vector_to_array("vector").alias("vector"))

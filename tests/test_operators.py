@@ -210,3 +210,25 @@ def test_stream(spark, tmp_path):
     word_counts.run_once(counts_, str(tmp_path / "cp"), "streamed")
     want = {(str(r.d), r.event_type): r["count"] for r in e.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("d"), "event_type").count().collect()}
     assert {(str(r.start), r.key): r.n for r in spark.table("streamed").collect()} == want
+
+
+def test_label_models(spark):
+    rows = [(i, ["a"] * (i % 2 == 0) + ["b"] * (i % 3 == 0), (["tree"] if i % 2 == 0 else ["sea"]) + (["dog"] if i % 3 == 0 else ["cat"]), [2.0 * (i % 2 == 0) + 1, 1.0]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id int, y array<string>, toks array<string>, s array<double>").withColumn("soft", ar.soft_label(F.col("s")))
+    chain = {r.doc_id: r for r in ml.classifier_chain(d, ["a", "b"], "y", k=2).collect()}
+    assert len(chain) == 60 and all((chain[i].p_a > 0.5) == (i % 2 == 0) and (chain[i].p_b > 0.5) == (i % 3 == 0) for i in range(60))
+    q = {r.doc_id: r.q for r in ml.soft_label_ridge(d, "soft", ["x", "y"], k=2).collect()}
+    assert all(abs(sum(v) - 1) < 1e-9 for v in q.values()) and all((q[i][0] > 0.6) == (i % 2 == 0) for i in range(60))
+
+
+def test_bridge_scores(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id int, m string")
+    weights = spark.createDataFrame([(1, "w", 0.5), (2, "w", 0.5), (3, "w", 1.0), (1, "v", 1.0)], "doc_id int, word string, weight double")
+    br = spark.createDataFrame([("w", "a", "b", 0.4), ("v", "c", "a", 0.3)], "word string, primary string, secondary string, p2 double")
+    got = {r.doc_id: (round(r.b_a, 6), round(r.b_b, 6), round(r.b_c, 6)) for r in ml.bridge_scores(docs, weights, br, "m", ["a", "b", "c"]).collect()}
+    assert got == {1: (0.0, 0.2, 0.3), 2: (0.2, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}
+
+
+def test_word_vectors(spark):
+    d = spark.createDataFrame([(["x", "y", "z"],)] * 10, "toks array<string>")
+    assert {r.word: len(r.vector) for r in ml.word_vectors(d, size=8, iterations=1).collect()} == {"x": 8, "y": 8, "z": 8}
