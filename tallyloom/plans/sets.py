@@ -23,7 +23,14 @@ def query(sql: str | None = None):
     return add
 
 
-Y, P = F.col("y"), F.col("p")
+def _y():
+    return F.col("y")
+
+
+def _p():
+    return F.col("p")
+
+
 _M = f"WITH {b.LABELLED_SQL}"
 _IN = lambda s, c: f"list_contains({s}, '{c}')"
 
@@ -32,18 +39,18 @@ _IN = lambda s, c: f"list_contains({s}, '{c}')"
     f"SELECT '{i}' AS a, '{j}' AS b, count(*) FILTER (WHERE {_IN('y', i)} AND {_IN('y', j)}) AS n, round(CAST(count(*) FILTER (WHERE {_IN('y', i)} AND {_IN('y', j)}) AS DOUBLE) / nullif(count(*) FILTER (WHERE {_IN('y', i)}), 0), 6) AS p_b_given_a FROM m"
     for i in b.LABELS for j in b.LABELS))
 def label_cooccurrence(spark, d):
-    return b.rounded(labelsets.cooccurrence(b.labelled(spark, d), Y, b.LABELS), "p_b_given_a")
+    return b.rounded(labelsets.cooccurrence(b.labelled(spark, d), _y(), b.LABELS), "p_b_given_a")
 
 
 @query(_M + """, s AS (SELECT lang AS main, unnest(list_distinct(y)) AS sub FROM m), t AS (SELECT lang AS main, count(*) AS docs FROM m GROUP BY 1)
 SELECT main, sub, count(*) AS n, round(CAST(count(*) AS DOUBLE) / any_value(docs), 6) AS p FROM s JOIN t USING (main) WHERE main <> sub GROUP BY ALL""")
 def label_transition(spark, d):
-    return b.rounded(labelsets.transitions(b.labelled(spark, d), F.col("lang"), Y), "p")
+    return b.rounded(labelsets.transitions(b.labelled(spark, d), F.col("lang"), _y()), "p")
 
 
 @query(_M + """, g AS (SELECT len(y) AS n_labels, count(*) AS n FROM m GROUP BY 1) SELECT n_labels, n, round(CAST(n AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE), 6) AS share FROM g""")
 def poly_rate(spark, d):
-    return b.rounded(labelsets.poly_rate(b.labelled(spark, d), Y), "share")
+    return b.rounded(labelsets.poly_rate(b.labelled(spark, d), _y()), "share")
 
 
 _MAIN = "list_filter(['toxic', 'foreign', 'long', 'good'], lambda c: list_contains({}, c))[1]"
@@ -56,17 +63,17 @@ def _main(c):
 @query(_M + f""", e AS (SELECT {_MAIN.format('y')} AS main, unnest(list_distinct(y)) AS label FROM m)
 SELECT label, count(*) AS n_docs, count(*) FILTER (WHERE label <> main) AS n_lost, round(CAST(count(*) FILTER (WHERE label <> main) AS DOUBLE) / count(*), 6) AS rate FROM e GROUP BY label""")
 def info_loss(spark, d):
-    return b.rounded(labelsets.information_loss(b.labelled(spark, d), Y, _main(Y)), "rate")
+    return b.rounded(labelsets.information_loss(b.labelled(spark, d), _y(), _main(_y())), "rate")
 
 
 @query(_M + """ SELECT lang, count(*) FILTER (WHERE len(p) > 0 AND len(y) <= 1) AS n_a, count(*) FILTER (WHERE len(p) > 0 AND len(y) > 1) AS n_b, count(*) FILTER (WHERE len(p) = 0) AS n_c FROM m GROUP BY lang""")
 def label_composition(spark, d):
-    return labelsets.composition(b.labelled(spark, d), Y, P, "lang")
+    return labelsets.composition(b.labelled(spark, d), _y(), _p(), "lang")
 
 
 @query(_M + """ SELECT array_to_string(list_filter(['toxic', 'foreign', 'long', 'good'], lambda c: list_contains(y, c)), '|') AS combo, count(*) AS n FROM m GROUP BY 1""")
 def label_combinations(spark, d):
-    return labelsets.label_combinations(b.labelled(spark, d), ar.labels_to_string(Y, b.LABELS))
+    return labelsets.label_combinations(b.labelled(spark, d), ar.labels_to_string(_y(), b.LABELS))
 
 
 _ERR = "CASE WHEN len(list_filter(y, lambda c: NOT list_contains(p, c))) = 0 AND len(list_filter(p, lambda c: NOT list_contains(y, c))) = 0 THEN 'exact' WHEN len(list_filter(p, lambda c: NOT list_contains(y, c))) = 0 THEN 'under' WHEN len(list_filter(y, lambda c: NOT list_contains(p, c))) = 0 THEN 'over' ELSE 'mixed' END"
@@ -74,7 +81,7 @@ _ERR = "CASE WHEN len(list_filter(y, lambda c: NOT list_contains(p, c))) = 0 AND
 
 @query(_M + f" SELECT {_ERR} AS error, count(*) AS n FROM m GROUP BY 1")
 def error_type(spark, d):
-    return evaluate.error_types(b.labelled(spark, d), Y, P)
+    return evaluate.error_types(b.labelled(spark, d), _y(), _p())
 
 
 _TP = lambda c: f"count(*) FILTER (WHERE {_IN('y', c)} AND {_IN('p', c)})"
@@ -86,7 +93,7 @@ f AS (SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS pr, coal
 
 @query(f"{_M}, {_PER} SELECT label, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1 FROM f")
 def multilabel_metrics(spark, d):
-    return b.rounded(evaluate.label_metrics(b.labelled(spark, d), Y, P, b.LABELS), "precision", "recall", "f1")
+    return b.rounded(evaluate.label_metrics(b.labelled(spark, d), _y(), _p(), b.LABELS), "precision", "recall", "f1")
 
 
 _WRONG = "len(list_filter(y, lambda c: NOT list_contains(p, c))) + len(list_filter(p, lambda c: NOT list_contains(y, c)))"
@@ -97,30 +104,30 @@ _JAC = "coalesce(CAST(len(list_intersect(y, p)) AS DOUBLE) / nullif(len(list_dis
 h AS (SELECT count(*) AS n, CAST(sum({_WRONG}) AS DOUBLE) / (count(*) * 4) AS hamming, avg(CASE WHEN {_WRONG} = 0 THEN 1.0 ELSE 0.0 END) AS subset_accuracy, avg({_JAC}) AS jaccard FROM m)
 SELECT n, round(micro_f1, 6) AS micro_f1, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(hamming, 6) AS hamming, round(CAST(subset_accuracy AS DOUBLE), 6) AS subset_accuracy, round(jaccard, 6) AS jaccard FROM g, h""")
 def multilabel_overall(spark, d):
-    return b.rounded(evaluate.overall_metrics(b.labelled(spark, d), Y, P, b.LABELS), "micro_f1", "macro_f1", "weighted_f1", "hamming", "subset_accuracy", "jaccard")
+    return b.rounded(evaluate.overall_metrics(b.labelled(spark, d), _y(), _p(), b.LABELS), "micro_f1", "macro_f1", "weighted_f1", "hamming", "subset_accuracy", "jaccard")
 
 
 @query(f"""{_M} SELECT count(*) AS n, round(CAST(avg(CASE WHEN len(list_intersect(y, p)) > 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS hit, round(CAST(avg(CASE WHEN {_WRONG} = 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS exact, round(avg({_JAC}), 6) AS jaccard FROM m""")
 def set_compare_jaccard(spark, d):
-    return b.rounded(evaluate.set_comparison(b.labelled(spark, d), Y, P), "hit", "exact", "jaccard")
+    return b.rounded(evaluate.set_comparison(b.labelled(spark, d), _y(), _p()), "hit", "exact", "jaccard")
 
 
 @query(f"""{_M}, x AS (SELECT *, list_filter(y, lambda c: c <> {_MAIN.format('y')}) AS lost FROM m)
 SELECT count(*) AS n, count(*) FILTER (WHERE len(lost) > 0) AS n_lost_docs, round(avg(CAST(len(list_intersect(lost, p)) AS DOUBLE) / nullif(len(lost), 0)), 6) AS irr FROM x""")
 def recovery_metrics(spark, d):
-    return b.rounded(evaluate.recovery(b.labelled(spark, d), Y, P, _main(Y)), "irr")
+    return b.rounded(evaluate.recovery(b.labelled(spark, d), _y(), _p(), _main(_y())), "irr")
 
 
 @query(f"""{_M}, x AS (SELECT *, {_MAIN.format('y')} AS mt, {_MAIN.format('p')} AS mp FROM m),
 z AS (SELECT *, list_filter(y, lambda c: c <> mt) AS subs, list_filter(p, lambda c: c <> mp) AS found FROM x)
 SELECT round(coalesce(CAST(sum(len(list_intersect(subs, found))) AS DOUBLE) / nullif(CAST(sum(len(subs)) AS DOUBLE), 0), 0), 6) AS companion_recall, round(CAST(avg(CASE WHEN list_contains(p, mt) THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS main_preserved FROM z""")
 def companion_recall(spark, d):
-    return b.rounded(evaluate.companion_boundary(b.labelled(spark, d), Y, P, _main(Y), _main(P)), "companion_recall", "main_preserved")
+    return b.rounded(evaluate.companion_boundary(b.labelled(spark, d), _y(), _p(), _main(_y()), _main(_p())), "companion_recall", "main_preserved")
 
 
 @query(f"{_M} SELECT lang, count(*) AS n, count(*) FILTER (WHERE {_WRONG} > 0) AS n_wrong, round(CAST(count(*) FILTER (WHERE {_WRONG} > 0) AS DOUBLE) / count(*), 6) AS rate FROM m GROUP BY lang")
 def failure_regions(spark, d):
-    return b.rounded(evaluate.failure_regions(b.labelled(spark, d), Y, P, F.col("lang")), "rate")
+    return b.rounded(evaluate.failure_regions(b.labelled(spark, d), _y(), _p(), F.col("lang")), "rate")
 
 
 def _predictions(spark, d):

@@ -46,3 +46,12 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["word", "primary", "secondary", "p1", "p2", "gap"]
     assert set(SQL) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0 and int(said.stdout.split()[0]) >= len(QUERIES)
