@@ -12,13 +12,13 @@ which is its unseen words'.  Where counts of counts give no discount in (0, 1],
 n1 / (n1 + 2 n2) takes its place.
 
 Tables.  Words are 64-bit hashes.  ``unigrams`` (word, count) is a plain table.  The bigrams are a table with one
-row for each of as many partitions as ``spark.sql.shuffle.partitions``, dealt by word, which holds the packed
+row for each of twice as many buckets as ``spark.sql.shuffle.partitions``, dealt by word, which holds the packed
 words, histories, counts and the places (chunk, document) where a bigram stands; ``bigram_rows`` shows it as
 rows.  The recursion runs by exchanges: dealt by word, a bigram meets its word's count; dealt by history it meets
 its history's weight; dealt by chunk the tokens' log-probabilities add up to documents.
 
 Words that hold more than a quarter of a partition's share of all tokens are hot: as words and as histories they
-are split over all partitions by the bigram's other half, and their totals, at most 4 * partitions of them, are
+are split over all partitions by the bigram's other half, and their totals, at most four for each bucket, are
 broadcast.  A bigram that a document repeats is one entry with a count.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are documents of their own; a null id
@@ -345,7 +345,7 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     The model is learnt from the rows where ``held_out`` is false; all rows are scored.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    spark, n = docs.sparkSession, 2 * partitions(docs.sparkSession)  # a bucket is held by one task at once
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text_or_empty(text_col).alias("text"))
 
