@@ -157,9 +157,9 @@ def same_wrong_agreement(spark, d):
 
 @query(f"""{_M}, w AS (SELECT DISTINCT doc_id, lang AS grp, unnest(toks) AS word FROM d), c AS (SELECT word, {", ".join(f"count(*) FILTER (WHERE grp = '{g}') AS c{i}" for i, g in enumerate(b.LANGS))}, count(*) AS total FROM w GROUP BY word HAVING count(*) >= 5),
 {b.top2_sql(b.LANGS)}, br AS (SELECT word, least("primary", secondary) AS a, greatest("primary", secondary) AS b FROM b WHERE {b.bridge_rule(BRIDGE_CONFIGS['loose'])}),
-docs AS (SELECT d.doc_id, lang, toks, grp FROM d), at AS (SELECT doc_id, least(lang, o) AS a, greatest(lang, o) AS b FROM docs, (SELECT unnest(['de', 'en', 'es', 'fr']) AS o) WHERE lang <> o),
+docs AS (SELECT d.doc_id, lang, toks, grp FROM d), tries AS (SELECT doc_id, least(lang, o) AS a, greatest(lang, o) AS b FROM docs, (SELECT unnest(['de', 'en', 'es', 'fr']) AS o) WHERE lang <> o),
 hit AS (SELECT DISTINCT w.doc_id, a, b FROM w JOIN br USING (word))
-SELECT a, b, count(*) AS attempts, count(h.doc_id) AS hits, round(CAST(count(h.doc_id) AS DOUBLE) / count(*), 6) AS rate FROM at LEFT JOIN (SELECT * FROM hit) h USING (doc_id, a, b) GROUP BY ALL""")
+SELECT a, b, count(*) AS attempts, count(h.doc_id) AS hits, round(CAST(count(h.doc_id) AS DOUBLE) / count(*), 6) AS rate FROM tries LEFT JOIN (SELECT * FROM hit) h USING (doc_id, a, b) GROUP BY ALL""")
 def case_hit(spark, d):
     docs = b.docs_k4(spark, d)
     wide = counts.doc_counts(docs, F.col("toks"), "lang", b.LANGS, 5)

@@ -101,8 +101,8 @@ _ARR = lambda b1, b2: "[" + ", ".join(f"round(greatest(0.25 + {b1} * e{i} + {b2}
 
 
 @query(f"""{_BR}, n AS (SELECT doc_id, {", ".join(f"coalesce(g{i} / nullif(g0 + g1 + g2 + g3, 0), 0) AS g{i}" for i in range(4))} FROM g), x AS (SELECT d.grp, e.*, n.* EXCLUDE (doc_id) FROM e JOIN n USING (doc_id) JOIN d USING (doc_id)),
-q AS ({" UNION ALL ".join(f"SELECT '{b1}/{b2}' AS variant, grp, {_ARR(b1, b2)} AS a FROM x" for b1, b2 in _VAR)}),
-p AS (SELECT variant, grp, CASE WHEN list_sum(a) > 0 THEN list_transform(a, lambda v: round(v / list_sum(a), 9)) ELSE [0.25, 0.25, 0.25, 0.25] END AS a FROM q)
+va AS ({" UNION ALL ".join(f"SELECT '{b1}/{b2}' AS variant, grp, {_ARR(b1, b2)} AS a FROM x" for b1, b2 in _VAR)}),
+p AS (SELECT variant, grp, CASE WHEN list_sum(a) > 0 THEN list_transform(a, lambda v: round(v / list_sum(a), 9)) ELSE [0.25, 0.25, 0.25, 0.25] END AS a FROM va)
 SELECT variant, round(CAST(avg(CASE WHEN 'k' || (list_position(a, list_max(a)) - 1) = grp THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS accuracy FROM p GROUP BY variant""")
 def correction_grid(spark, d):
     docs = b.docs_k4(spark, d)
