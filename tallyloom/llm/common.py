@@ -33,17 +33,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, codec: str = "snappy", partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy", compact: bool = False) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared scratch folder and returns the reading of it.
 
     This cuts the lineage: a lost executor costs no more than the stage that runs, and a table that several
-    later steps read is computed once.
+    later steps read is computed once.  ``compact`` evens out narrow tables first, so that there are as many files
+    as the data fill, not as many as the tasks before.
     """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    writer = df.write.option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    (df.hint("rebalance") if compact else df).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

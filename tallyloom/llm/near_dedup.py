@@ -10,7 +10,7 @@ Copies are one node: what follows sees distinct sets only.  Within a bucket not
 every node is compared with one centre, the smallest node among its buckets.  Buckets that still hold more than
 one component are open; nodes that open buckets connect form a cluster.  A cluster's nodes are dealt into blocks of
 about ``BLOCK``, every two blocks meet in one task, and a product of their presence matrices counts all
-intersections at once; only links between different components come out.  What remains uncompared is connected
+intersections at once; of the nodes that they link, each comes out once, with the first of them.  What remains uncompared is connected
 already, so the components are those of all candidates.
 
 Nodes, pairs and components stay tables.  Sets travel once for each comparison, of candidates only.
@@ -125,11 +125,14 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket, centre, node, label of the buckets with several components."""
     named = members.select("bucket", "centre", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    return materialize(named.join(mixed, "bucket", "left_semi"))
+    return materialize(named.join(mixed, "bucket", "left_semi"), compact=True)
 
 
 def _block_links(rows: list[tuple[bytes, bytes, bytes, int]], pair: tuple[int, int], percent: int) -> tuple[list[bytes], list[bytes]]:
-    """The links between different labels, of one block or of two with each other: rows of node, label, set, block."""
+    """Links between different labels, of one block or of two with each other: rows of node, label, set, block.
+
+    Of the nodes that links connect, each comes out linked with the first; the other links follow from these.
+    """
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -149,15 +152,21 @@ def _block_links(rows: list[tuple[bytes, bytes, bytes, int]], pair: tuple[int, i
     common = common.astype(np.int64)
     _, label = np.unique([r[1] for r in rows], return_inverse=True)
     block = np.array([r[3] for r in rows])
-    good = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (label[:, None] < label[None, :])
+    good = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (label[:, None] != label[None, :])
     if pair[0] != pair[1]:
         good &= block[:, None] != block[None, :]
-    a, b = np.nonzero(good)
-    return [rows[i][0] for i in a], [rows[i][0] for i in b]
+    first = np.arange(len(rows))
+    while True:
+        lowest = np.minimum(first, np.where(good, first[None, :], len(rows)).min(1))
+        if (lowest == first).all():
+            break
+        first = lowest
+    b = np.flatnonzero(first != np.arange(len(rows)))
+    return [rows[i][0] for i in first[b]], [rows[i][0] for i in b]
 
 
 def _cluster_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) between different labels within the clusters of open buckets."""
+    """Links (a, b) that connect what is similar enough within the clusters of open buckets."""
     spark = open_.sparkSession
     clusters = connected_components(open_.select(F.col("node").alias("a"), F.col("centre").alias("b")))
     nodes = open_.select("node", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "node")
@@ -197,12 +206,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     sets = materialize(shingle_sets(docs, members.select("text_hash").distinct(), size, text_col), "uncompressed")
     first = members.groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b")).where("a != b")
-    links = materialize(confirm(first, sets, percent))
+    links = materialize(confirm(first, sets, percent), compact=True)
     labels = connected_components(links)
 
     open_ = _open_buckets(members, labels)
     if not open_.isEmpty():
-        more = materialize(_cluster_links(open_, sets, percent))
+        more = materialize(_cluster_links(open_, sets, percent), compact=True)
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
 
