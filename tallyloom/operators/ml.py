@@ -23,7 +23,7 @@ def tfidf(tokens_col: str = "toks", min_df: int = 2, max_features: int = 20_000,
 def classifier(kind: str, label: str = "label", n: int = 1000, seed: int = 42):
     """lr, rf or svm."""
     if kind == "lr":
-        return LogisticRegression(labelCol=label, maxIter=100, regParam=1.0 / n, standardization=False, family="multinomial")
+        return LogisticRegression(labelCol=label, maxIter=50, tol=1e-4, regParam=1.0 / n, standardization=False, family="multinomial")
     if kind == "rf":
         return RandomForestClassifier(labelCol=label, numTrees=200, maxDepth=12, seed=seed)
     return OneVsRest(labelCol=label, classifier=LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False))
@@ -38,7 +38,7 @@ def cross_validate(rows: DataFrame, label: str, kind: str = "lr", k: int = 5, ke
     for f in range(k):
         train = dealt.where(F.col("fold") != f)
         features = tfidf(tokens_col).fit(train)
-        model = classifier(kind, n=n, seed=seed).fit(features.transform(train))
+        model = classifier(kind, n=n, seed=seed).fit(features.transform(train).select("label", "features"))
         got = model.transform(features.transform(dealt.where(F.col("fold") == f)))
         p = vector_to_array("probability") if kind != "svm" else F.lit(None).cast("array<double>")
         parts.append(got.select(key, F.col(label).alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("pred"), p.alias("p"), F.lit(f).alias("fold")))
@@ -55,7 +55,7 @@ def binary_relevance(rows: DataFrame, labels: list[str], set_col: str, key: str
     for f in range(k):
         train = dealt.where(F.col("fold") != f)
         features = tfidf(tokens_col).fit(train)
-        tr, te = features.transform(train), features.transform(dealt.where(F.col("fold") == f))
+        tr, te = features.transform(train).select(set_col, "features").persist(), features.transform(dealt.where(F.col("fold") == f))
         out = te.select(key, "features")
         for c in labels:
             y = tr.withColumn("label", F.array_contains(set_col, c).cast("double"))
@@ -64,7 +64,7 @@ def binary_relevance(rows: DataFrame, labels: list[str], set_col: str, key: str
                 out = out.withColumn(f"p_{c}", F.lit(float(bool(ones))))
                 continue
             w = F.when(F.col("label") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones)))
-            m = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / n, standardization=False, maxIter=100).fit(y.withColumn("w", w))
+            m = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / n, standardization=False, maxIter=30, tol=1e-4).fit(y.withColumn("w", w))
             out = m.transform(out).withColumn(f"p_{c}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         parts.append(out.drop("features"))
     got = parts[0]
@@ -101,7 +101,7 @@ def classifier_chain(rows: DataFrame, labels: list[str], set_col: str, key: str
                 te = te.withColumn(f"p_{c}", F.lit(float(bool(ones)))).withColumn(f"_y{i}", F.lit(float(bool(ones))))
                 continue
             joined = VectorAssembler(inputCols=["features", *(f"_y{j}" for j in range(i))], outputCol="_x")
-            m = LogisticRegression(labelCol=f"_y{i}", featuresCol="_x", regParam=1.0 / n, standardization=False, maxIter=50).fit(joined.transform(tr))
+            m = LogisticRegression(labelCol=f"_y{i}", featuresCol="_x", regParam=1.0 / n, standardization=False, maxIter=30, tol=1e-4).fit(joined.transform(tr))
             te = m.transform(joined.transform(te)).withColumn(f"p_{c}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "_x")
             te = te.withColumn(f"_y{i}", (F.col(f"p_{c}") > 0.5).cast("double"))
         parts.append(te.select(key, *(f"p_{c}" for c in labels)))

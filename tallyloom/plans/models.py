@@ -136,14 +136,14 @@ def stratified_folds(spark, d):
 
 @query()
 def tfidf_cv_lr(spark, d):
-    out = ml.cross_validate(b.docs_k4(spark, d).select("doc_id", "lang", "toks"), "lang", "lr", k=3)
+    out = ml.cross_validate(b.docs_k4(spark, d).select("doc_id", "lang", "toks"), "lang", "lr", k=2)
     return out.select("doc_id", "truth", "pred", F.round(F.array_max("p"), 4).alias("top_p"))
 
 
 @query()
 def ovr_probs(spark, d):
     m = b.labelled(spark, d).select("doc_id", "toks", "y")
-    return ml.binary_relevance(m, ["foreign", "toxic"], "y")
+    return ml.binary_relevance(m, ["foreign", "toxic"], "y", k=2)
 
 
 @query()
