@@ -40,7 +40,7 @@ from tallyloom.llm.words import mix, random_values, text_buffer
 
 LENGTH, GRAM = 400, 160
 #: Different segments of one anchor beyond which it is split; bytes of segments that are indexed together.
-HOT, INDEX_BYTES = 4000, 3 << 20
+HOT, INDEX_BYTES = 2000, 3 << 19
 _U = np.uint64
 _PIECE = 1 << 20
 _BASE = _U(0x9E3779B97F4A7C15)
