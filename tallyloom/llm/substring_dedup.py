@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     done = materialize(_cut_texts(texts.drop("found").join(by_text, ["ka", "kb"]), length))
 
     copies = rows.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("copies"))
-    known = copies.join(done, ["ka", "kb"], "left")
+    known = materialize(copies.join(done, ["ka", "kb"], "left"), compact=True)
     none = F.array().cast("array<struct<start:int,end:int>>")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
