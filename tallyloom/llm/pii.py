@@ -40,12 +40,14 @@ SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "wen", "kor", "lin", "mar", "ton"],
     "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "вен", "кор", "лин", "мар", "тон"],
 }
+#: What names a secret that follows it.
+_KEYWORD = "(?i:password|passwd|secret|api_key|token)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{Ll}+"
 _HONORIFIC = "(?:" + "|".join(MALE + FEMALE) + r")"
 #: Types in order of precedence with their Java patterns; none has a capturing group.
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|api_key|token)[ \t]?[=:][ \t]?\"?[A-Za-z0-9_/+-]{8,128})",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|" + _KEYWORD + r"[ \t]?[=:][ \t]?\"?[A-Za-z0-9_/+-]{8,128})",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d-])\d{15,16}(?![\d-])",
@@ -56,7 +58,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity contains; a cheap first look at a text.
-HINT = r"[0-9@]|" + _HONORIFIC + r"\.? \p{Lu}"
+HINT = "[0-9@]|AKIA|" + _KEYWORD + "|" + _HONORIFIC + r"\.? "
 MAX_ATTEMPTS = 64
 
 
@@ -79,7 +81,7 @@ def _canonical(kind: Column, e: Column) -> Column:
         .when(kind == "email", F.lower(e))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "person", F.concat(F.when(e.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "m ").otherwise("f "), F.lower(F.regexp_replace(e, r"^\p{L}+\.? ", ""))))
-        .when(kind == "secret", F.regexp_replace(e, r"^(?i:password|passwd|secret|api_key|token)[ \t]?[=:][ \t]?\"?", ""))
+        .when(kind == "secret", F.regexp_replace(e, "^" + _KEYWORD + r"[ \t]?[=:][ \t]?\"?", ""))
         .otherwise(e)
     )
 
