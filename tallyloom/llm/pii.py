@@ -43,18 +43,27 @@ SYLLABLES = {
 #: What names a secret that follows it.
 _KEYWORD = "(?i:password|passwd|secret|api_key|token)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}\p{Ll}+"
 _HONORIFIC = "(?:" + "|".join(MALE + FEMALE) + r")"
-#: Types in order of precedence with their Java patterns; none has a capturing group.
+#: Titles after an honorific and small words inside a name (fixed values).
+TITLES = ["Dr", "Prof", "Dipl", "Ing", "Mag", "Rev", "Hon", "St"]
+PARTICLES = ["von", "van", "vom", "zu", "zum", "zur", "der", "den", "ter", "ten", "de", "del", "della", "di", "da", "do", "dos", "das", "du", "des", "la", "le", "las", "los", "y", "e", "bin", "ibn", "al", "el", "фон", "де"]
+_GAP = r"[ \t\u00A0]++"
+#: A name word (O'Brien, Meier-Schulz, d'Artagnan, without an English 's), and what may stand before it: titles,
+#: initials, particles.  Loops over groups are possessive, which Java runs without recursion.
+_WORD = r"(?:\p{Ll}{1,4}['’-](?=\p{Lu}))?+(?=\p{Lu}[\p{M}'’-]*\p{L})\p{Lu}[\p{L}\p{M}]*+(?:['’-](?!s(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+"
+_BEFORE = rf"(?:(?:{'|'.join(TITLES)})(?:\.[ \t\u00A0-]*+|{_GAP})|\p{{Lu}}\p{{M}}*+(?:\.[ \t\u00A0-]*+|{_GAP})|(?:{'|'.join(PARTICLES)}){_GAP})*+"
+_NAME = rf"{_BEFORE}{_WORD}(?:{_GAP}{_BEFORE}{_WORD})*+(?:{_GAP}\p{{Lu}}\p{{M}}*+(?=\.))?+"
+#: Types in order of precedence with their Java patterns; none has a capturing group.  None ends inside an entity:
+#: runs have no upper bound but the one of their standard (a phone has 15 digits, an IBAN 34 characters).
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|" + _KEYWORD + r"[ \t]?[=:][ \t]?\"?[A-Za-z0-9_/+-]{8,128})",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|" + _KEYWORD + r"[ \t]?[=:][ \t]?\"?(?=[A-Za-z0-9_/+-]{8})[A-Za-z0-9_/+.~-]*[A-Za-z0-9_/+-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d-])\d{15,16}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\dA-Za-z+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": rf"(?<![\p{{L}}])(?:{_HONORIFIC})\.? {_NAME}(?: {_NAME})?",
+    "phone": r"(?<![\dA-Za-z+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,6}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "person": rf"(?<![\p{{L}}])(?:{_HONORIFIC})\.? {_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity contains; a cheap first look at a text.
@@ -80,7 +89,7 @@ def _canonical(kind: Column, e: Column) -> Column:
         .when(kind == "phone", F.when(F.length(d) == 10, F.concat(F.lit("1"), d)).otherwise(d))
         .when(kind == "email", F.lower(e))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
-        .when(kind == "person", F.concat(F.when(e.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "m ").otherwise("f "), F.lower(F.regexp_replace(e, r"^\p{L}+\.? ", ""))))
+        .when(kind == "person", F.concat(F.when(e.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "m ").otherwise("f "), F.lower(F.regexp_replace(F.regexp_replace(e, r"^\p{L}+\.? ", ""), _GAP, " "))))
         .when(kind == "secret", F.regexp_replace(e, "^" + _KEYWORD + r"[ \t]?[=:][ \t]?\"?", ""))
         .otherwise(e)
     )
@@ -116,13 +125,14 @@ def _pick(values: list[str], h: Column, at: int) -> Column:
 
 def _person(canon: Column, attempt: Column, key: str) -> Column:
     """A name of the canonical form's gender and script; the family name follows from the family name alone."""
-    family, given = F.regexp_extract(canon, r"(\S+)$", 1), F.regexp_extract(canon, r"^[mf] (\S+) \S+$", 1)
-    hf, hg = _stream(key, F.lit("family"), family, attempt.cast("string")), _stream(key, F.lit("given"), given)
+    family, given = F.regexp_extract(canon, r"(\S+)$", 1), F.regexp_extract(canon, r"^[mf] (.+) \S+$", 1)
+    hf = _stream(key, F.lit("family"), family, attempt.cast("string"))
     script = lambda s: [F.initcap(F.concat(*(_pick(SYLLABLES[s], hf, 1 + 4 * i) for i in range(3)), F.when(attempt >= 8, _pick(SYLLABLES[s], hf, 17)).otherwise("")))]
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
     last = F.when(cyrillic, script("cyrillic")[0]).otherwise(script("latin")[0])
-    pick = lambda g: F.when(cyrillic, _pick(GIVEN[g, "cyrillic"], hg, 1)).otherwise(_pick(GIVEN[g, "latin"], hg, 1))
-    first = F.when(canon.startswith("m "), pick("m")).otherwise(pick("f"))
+    pick = lambda g, h: F.when(cyrillic, _pick(GIVEN[g, "cyrillic"], h, 1)).otherwise(_pick(GIVEN[g, "latin"], h, 1))
+    named = lambda h: F.when(canon.startswith("m "), pick("m", h)).otherwise(pick("f", h))
+    first = F.array_join(F.transform(F.split(given, " "), lambda w: named(_stream(key, F.lit("given"), w))), " ")
     return F.when(given == "", last).otherwise(F.concat_ws(" ", first, last))
 
 
@@ -137,9 +147,10 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
         F.concat(F.lit("1"), F.translate(F.substring(plain, 2, 1), "01", "23"), F.substring(plain, 3, 2), F.translate(F.substring(plain, 5, 1), "01", "45"), F.substring(plain, 6, 6)),
     ).otherwise(F.concat(F.substring(canon, 1, 2), F.substr(plain, F.lit(3), F.length(canon))))
     local = _refill(F.substring_index(canon, "@", 1), h)
-    sub = F.regexp_extract(canon, r"@((?:[^.@]+\.)*?)[^.@]+\.[^.@]+$", 1)
+    domain = F.substring_index(canon, "@", -1)
+    sub = F.substr(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -2)))
     mail = F.concat(local, F.when(attempt >= 8, F.substring(h, 100, 6)).otherwise(""), F.lit("@"), _refill(sub, _stream(key, F.lit("domain"), canon)), F.lit("example."), _pick(["com", "org", "net"], h, 90))
-    secret = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substr(plain, F.lit(5), F.lit(16)))).otherwise(plain)
+    secret = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substr(plain, F.lit(5), F.length(canon)))).otherwise(plain)
     iban = F.concat(F.substring(canon, 1, 2), F.substr(plain, F.lit(3), F.length(canon)))
     return (
         F.when(kind == "email", mail).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "phone", phone)

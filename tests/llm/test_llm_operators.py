@@ -194,6 +194,28 @@ def test_pii_secrets_of_letters_alone(spark):
     assert got[4][0] == "on 2020-01-01 " + got[1][0] and got[5][0] == texts[4][1]
 
 
+def test_pii_leaves_no_tail(spark):
+    from tallyloom.llm.pii import redact
+
+    rng = random.Random(1)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789_-") for _ in range(5000))
+    many = " ".join(["Abc"] * 4000)
+    texts = [
+        (1, f"token={run} end"), (2, f"token: {run[:40]}.{run[40:300]}.{run[300:400]}. Then"), (3, "Mr John Paul Smith paid; Mr Smith's dog, Mr Smith left."),
+        (4, "Frau Meier-Schulz, Mr Seán O’Brien and Herr McDonald"), (5, "Mr John F. Kennedy. Herr Prof. Dr. Ludwig van Beethoven ging"), (6, "mail a@b1.cc.dd.ee.ff.gg.hh.ii.jj.kk.com now"),
+        (7, "call +49 30 12 34 56 78 90 now"), (8, f"Mr {many} end"), (9, "a@" + "b." * 4000 + "com end"), (10, "Mr Smith"),
+    ]
+    got = {r.doc_id: (r.text, r.n_entities) for r in redact(documents(spark, texts), "k").collect()}
+    assert {i: n for i, (_, n) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 2, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1}
+    assert not any(run[k : k + 12] in got[1][0] + got[2][0] for k in range(len(run) - 12))
+    assert got[1][0].startswith("token=") and got[1][0].endswith(" end") and got[2][0].endswith(". Then")
+    for x in ("Smith", "Paul", "Schulz", "Meier", "Brien", "Seán", "Donald", "Kennedy", "Ludwig", "Beethoven", "jj.kk", "78 90", "Abc", "b.b"):
+        assert not any(x in t for t, _ in got.values()), x
+    family = got[10][0].split(" ")[-1]
+    assert re.fullmatch(rf"Mr [A-Z][a-z]+ [A-Z][a-z]+ {family} paid; Mr {family}'s dog, Mr {family} left\.", got[3][0])
+    assert re.fullmatch(r"call \+4\d \d\d( \d\d){5} now", got[7][0]) and got[5][0].endswith(" ging")
+
+
 # 5
 def test_leaks_match_plain_code(spark):
     from tallyloom.llm.decontaminate import find_leaks, normalise, without_leaks
