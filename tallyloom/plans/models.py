@@ -34,21 +34,20 @@ def _bridges(spark, d):
 @query()
 def permutation_chi2(spark, d):
     docs, words = _docs_words(spark, d)
-    frequent = b.counts_k4(spark, d, 20).select("word")
-    return resample.permutation_chi2(docs, words.join(frequent, "word", "left_semi"), b.K4, n=20, min_docs=20)
+    return resample.permutation_chi2(docs, words, b.K4, n=1000, min_docs=5)
 
 
 @query()
 def bridge_bootstrap(spark, d):
     docs, words = _docs_words(spark, d)
-    return resample.bridge_bootstrap(docs, words.join(_bridges(spark, d).select("word"), "word", "left_semi"), b.K4, n=20)
+    return resample.bridge_bootstrap(docs, words.join(_bridges(spark, d).select("word"), "word", "left_semi"), b.K4, n=200)
 
 
 @query()
 def null_summary(spark, d):
     docs, words = _docs_words(spark, d)
     found = _bridges(spark, d)
-    return resample.null_summary(resample.bridge_null(docs, words, found, b.K4, n=20), found, 20)
+    return resample.null_summary(resample.bridge_null(docs, words, found, b.K4, n=1000), found, 1000)
 
 
 @query()
@@ -114,7 +113,7 @@ def cosine_matrix(spark, d):
 
 @query()
 def kmeans_soft_table(spark, d):
-    return geometry.kmeans_soft_table(b.table(spark, d, "embeddings"), "embedding", "label", k=20)
+    return geometry.kmeans_soft_table(b.table(spark, d, "embeddings"), "embedding", "label", k=200)
 
 
 @query()
@@ -136,7 +135,7 @@ def stratified_folds(spark, d):
 
 @query()
 def tfidf_cv_lr(spark, d):
-    out = ml.cross_validate(b.docs_k4(spark, d).select("doc_id", "lang", "toks"), "lang", "lr", k=2)
+    out = ml.cross_validate(b.docs_k4(spark, d).select("doc_id", "lang", "toks"), "lang", "lr", k=5)
     return out.select("doc_id", "truth", "pred", F.round(F.array_max("p"), 4).alias("top_p"))
 
 

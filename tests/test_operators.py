@@ -232,3 +232,26 @@ def test_bridge_scores(spark):
 def test_word_vectors(spark):
     d = spark.createDataFrame([(["x", "y", "z"],)] * 10, "toks array<string>")
     assert {r.word: len(r.vector) for r in ml.word_vectors(d, size=8, iterations=1).collect()} == {"x": 8, "y": 8, "z": 8}
+
+
+def test_registered_jobs_are_whole(spark, monkeypatch):
+    """The queries ask for the reference's iterations, clusters, folds and words."""
+    from tallyloom.plans import models
+
+    asked = {}
+    for module, name in ((models.resample, "permutation_chi2"), (models.resample, "bridge_bootstrap"), (models.resample, "bridge_null"), (models.geometry, "kmeans_soft_table"), (models.ml, "cross_validate")):
+        def note(first, *rest, f=getattr(module, name), name=name, **kw):
+            asked[name] = (kw, rest)
+            return f(first, *rest, **kw)
+
+        monkeypatch.setattr(module, name, note)
+    d = "/root/testdata/sf0.001"
+    models.bridge_bootstrap(spark, d), models.null_summary(spark, d), models.permutation_chi2(spark, d), models.kmeans_soft_table(spark, d)
+    assert [asked[n][0]["n"] for n in ("permutation_chi2", "bridge_bootstrap", "bridge_null")] == [1000, 200, 1000]
+    assert asked["permutation_chi2"][0]["min_docs"] == 5 and asked["kmeans_soft_table"][0]["k"] == 200
+    on = asked["permutation_chi2"][1][0].groupBy("word").count()
+    assert on.where("count between 5 and 19").count() > 0  # no filter before the operator's own
+    monkeypatch.setattr(models.ml, "cross_validate", lambda *a, **kw: asked.update(cv=kw) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        models.tfidf_cv_lr(spark, d)
+    assert asked["cv"]["k"] == 5
