@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_CHARS = " \t\n\x0b\f\r"
+_DATABASE, _CLEANUP = "tallyloom.scratch.database", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +21,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; only a local session without that setting gets a folder of its own."""
+def scratch_database(spark: SparkSession) -> str:
+    """The session's database for scratch tables, in a folder of its own under ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    name = spark.conf.get(_DATABASE, "")
+    if name and spark.catalog.databaseExists(name):
+        return name
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    name = f"tallyloom_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{root.rstrip('/')}/{name}'")
+    spark.conf.set(_DATABASE, name)
+    return name
 
 
 def materialize(df: DataFrame, codec: str = "snappy", compact: bool = False) -> DataFrame:
@@ -38,22 +46,25 @@ def materialize(df: DataFrame, codec: str = "snappy", compact: bool = False) ->
 
     This cuts the lineage: a lost executor costs no more than the stage that runs, and a table that several
     later steps read is computed once.  ``compact`` evens out narrow tables first, so that there are as many files
-    as the data fill, not as many as the tasks before.
-    """
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    (df.hint("rebalance") if compact else df).write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files that no live DataFrame needs.
-
-    It acts on what the JVM's collector found unreachable, and that on what Python's collector let go of.
+    as the data fill, not as many as the tasks before.  Spark deletes the shuffle files of the write when it ends.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    spark = df.sparkSession
+    name = f"{scratch_database(spark)}.t{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.hint("rebalance") if compact else df).write.format("parquet").option("compression", codec).saveAsTable(name)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.table(name)
+    out.scratch_table = name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that no later step reads."""
+    for t in tables:
+        t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.scratch_table}")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import blocks, materialize, partitions, read_table, release_shuffles, short_id, text_or_empty
+from tallyloom.llm.common import blocks, materialize, partitions, read_table, short_id, text_or_empty
 from tallyloom.llm.packing import deltas, pack, small, unpack
 from tallyloom.llm.words import mix, random_values, text_buffer, word_hashes
 
@@ -361,7 +361,6 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     hot = spark.sparkContext.broadcast((keys, np.array([totals[k] for k in keys], np.int64)))
 
     table = materialize(bigram_table(picked, unigrams, hot, n), "uncompressed")
-    release_shuffles(spark)
     rows = table.where(F.col("bucket") >= 0)
     of_counts = rows.select(*(F.sum(F.get("counts", F.lit(r))).alias(f"n{r}") for r in range(K + 2))).first()
     d = discounts([x or 0 for x in of_counts])

@@ -1,4 +1,4 @@
-"""A run-length index of sorted windows: run-compressed Burrows-Wheeler transform, sampled run ends, match lengths."""
+"""A run-compressed index of byte strings: Burrows-Wheeler runs, samples at the runs' ends, streamed match lengths."""
 
 from __future__ import annotations
 
@@ -18,92 +18,123 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_order(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The order of the windows data[s:s + size] by content, by prefix doubling (size >= 8); equal ones by position."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(size + 8, np.uint8)]).astype(np.uint64)
-    keys = np.zeros(n + size, np.uint64)
-    for k in range(8):
-        keys = (keys << _U(8)) | padded[k : k + n + size]
-    ranks, reach = _ranks(keys), 8
-    while 2 * reach <= size:
-        ahead = np.concatenate([ranks[reach:], np.zeros(reach, np.uint64)])
+def suffix_ranks(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The rank of every suffix of every segment, by prefix doubling.
+
+    A segment's end sorts before all bytes, an earlier segment's end before a later one's; so no two suffixes are
+    equal.
+    """
+    n, ends = len(data), np.cumsum(lengths)
+    segment = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    rest = np.repeat(ends, lengths) - np.arange(n)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    keys, reach, places = np.zeros(n, np.uint64), 7, np.arange(n)
+    for k in range(reach):
+        keys = (keys << _U(8)) | np.where(rest > k, padded[k : k + n], _U(0))
+    ranks = _ranks((keys << _U(8)) | np.minimum(rest, reach).astype(np.uint64))
+    while n and int(ranks.max()) < n - 1:
+        ahead = np.where(rest > reach, ranks[np.minimum(places + reach, n - 1)] + _U(len(lengths)), segment)
         ranks, reach = _ranks((ranks << _U(32)) | ahead), 2 * reach
-    return np.argsort((ranks[starts] << _U(32)) | ranks[starts + (size - reach)], kind="stable")
+    return ranks.astype(np.int64)
 
 
 class RunIndex:
-    """Index of all windows of ``size`` bytes inside some segments.
+    """The run-compressed transform of some segments, and what is sampled where its runs begin.
+
+    Of the sorted suffixes and the byte before each (a segment's own beginning counts as a byte of its own) only
+    this is kept, all of it as long as the number of runs:
+
+    * ``run_starts``, ``run_bytes``: the transform by runs; :meth:`lf` steps on them;
+    * ``at``: the text position of the suffix at each run's beginning, in text order;
+    * ``source``: the position sampled at the end of the run before, its neighbour in sorted order;
+    * ``agree``: how many bytes the two have in common, compared once.
 
-    The windows are sorted by content.  The byte before each (none before a segment's first window) makes the
-    transform, which is kept as runs with the text positions of both ends.  How far a window agrees with its
-    sorted neighbour is compared byte by byte only where a run begins; within runs it streams along the text, one
-    less at each step.
+    Between two samples the neighbour moves along with the text and one byte of agreement goes at each step, since
+    suffixes of one run share the byte before them.  So the samples stream the matching statistics of every
+    position, and the neighbour's after a position is known as that position's before.
     """
 
-    def __init__(self, segments: list[bytes], size: int):
+    def __init__(self, segments: list[bytes]):
         lengths = np.array([len(s) for s in segments], np.int64)
-        begin = np.cumsum(lengths) - lengths
-        counts = lengths - size + 1
-        self.size, self.data = size, np.frombuffer(b"".join(segments), np.uint8)
-        self.counts, self.first = counts, np.cumsum(counts) - counts
-        at = np.arange(counts.sum())
-        self.starts = at - np.repeat(self.first - begin, counts)
-        self.end = np.repeat(begin + lengths, counts)
-        before = self.data[np.maximum(self.starts - 1, 0)].astype(np.int16)
-        before[self.first] = -1
-        self.order = window_order(self.data, self.starts, size)
-        bwt = before[self.order]
-        edge = np.append(True, bwt[1:] != bwt[:-1])
-        self.run_starts = np.flatnonzero(edge)
-        self.run_bytes = bwt[self.run_starts]
-        ends = np.append(self.run_starts[1:], len(bwt)) - 1
-        self.samples = np.stack([self.order[self.run_starts], self.order[ends]], 1)  # text order of both run ends
-        self._before = before
-
-    def match_lengths(self) -> tuple[np.ndarray, np.ndarray]:
-        """(length of agreement with the preceding window in sorted order, that window), both by text order; -1 for none."""
-        n = len(self.order)
-        near = np.full(n, -1)
-        near[self.order[1:]] = self.order[:-1]
-        head = np.zeros(n, bool)
-        head[self.order[self.run_starts]] = True
-        step = np.zeros(n, bool)  # the neighbour's neighbourhood moves along with the text
-        step[1:] = (near[1:] > 0) & (near[1:] - 1 == near[:-1])
-        fresh = head | ~step | (self._before < 0)
-        fresh |= (near >= 0) & (self._before[np.maximum(near, 0)] < 0)
-        known = np.flatnonzero(fresh)
-        length = np.zeros(n, np.int64)
-        length[known] = self._compare(known, near[known])
-        last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        return length[last] - (np.arange(n) - last), near
-
-    def _compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        data = np.frombuffer(b"".join(segments), np.uint8)
+        n = len(data)
+        self.begins, self.ends, self.size = np.cumsum(lengths) - lengths, np.cumsum(lengths), n
+        ranks = suffix_ranks(data, lengths)
+        order = np.empty(n, np.int64)
+        order[ranks] = np.arange(n)
+        before = data[np.maximum(order - 1, 0)].astype(np.int64)
+        full = np.flatnonzero(lengths)
+        before[ranks[self.begins[full]]] = -1 - full
+        self.run_starts = np.flatnonzero(np.append(True, before[1:] != before[:-1])) if n else np.zeros(0, np.int64)
+        self.run_bytes = before[self.run_starts]
+        # by byte: the first rank of what begins with it, behind the segments that end with it
+        self.firsts = np.append(0, np.cumsum(np.bincount(data, minlength=256)))[:256] + np.bincount(data[self.ends[full] - 1], minlength=256)
+        heads = self.run_starts[self.run_starts > 0]
+        at, source = order[heads], order[heads - 1]
+        lowest = order[:1]  # nothing sorts before it
+        by_text = np.argsort(np.append(at, lowest))
+        self.at = np.append(at, lowest)[by_text]
+        self.source = np.append(source, np.full(len(lowest), -1))[by_text]
+        self.agree = self._compare(data, self.at, self.source)
+
+    def lf(self, ranks: np.ndarray) -> np.ndarray:
+        """The rank of the suffix that begins one byte earlier; -1 - segment at a segment's beginning."""
+        run = np.searchsorted(self.run_starts, ranks, "right") - 1
+        sizes = np.diff(np.append(self.run_starts, self.size))
+        by_byte = np.lexsort((self.run_starts, self.run_bytes))
+        sorted_bytes, upto = self.run_bytes[by_byte], np.cumsum(sizes[by_byte])
+        low = np.searchsorted(sorted_bytes, self.run_bytes[run])
+        place = np.empty(len(by_byte), np.int64)
+        place[by_byte] = upto - sizes[by_byte]
+        base = np.where(low > 0, upto[low - 1], 0)
+        step = place[run] - base + ranks - self.run_starts[run]
+        c = self.run_bytes[run]
+        return np.where(c < 0, c, self.firsts[np.maximum(c, 0)] + step)
+
+    def _compare(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at a and b of the segments have in common; 0 where b is -1."""
         out = np.zeros(len(a), np.int64)
         live = np.flatnonzero(b >= 0)
-        x, y = self.starts[a[live]], self.starts[b[live]]
-        most = np.minimum(self.end[a[live]] - x, self.end[b[live]] - y)
-        at = 0
+        x, y = a[live], b[live]
+        end = lambda p: self.ends[np.searchsorted(self.ends, p, "right")]
+        most, at, last, width = np.minimum(end(x) - x, end(y) - y), 0, len(data) - 1, 8
         while len(live):
-            width = 32
             i = np.arange(at, at + width)
-            inside = i < most[:, None]
-            same = inside & (self.data[np.minimum(x[:, None] + i, len(self.data) - 1)] == self.data[np.minimum(y[:, None] + i, len(self.data) - 1)])
+            same = (i < most[:, None]) & (data[np.minimum(x[:, None] + i, last)] == data[np.minimum(y[:, None] + i, last)])
             gained = np.where(same.all(1), width, same.argmin(1))
             out[live] += gained
             go = gained == width
             live, x, y, most = live[go], x[go], y[go], most[go]
-            at += width
+            at, width = at + width, 32
         return out
 
-    def repeated(self) -> list[list[tuple[int, int]]]:
-        """For each segment the runs (first window, number of windows) that occur more than once."""
-        length, near = self.match_lengths()
-        hit = length >= self.size
-        twice = hit.copy()
-        twice[near[hit]] = True
-        out = []
-        for f, c in zip(self.first, self.counts, strict=True):
-            marks = np.flatnonzero(np.diff(np.concatenate(([0], twice[f : f + c].view(np.int8), [0]))))
-            out.append([(int(a), int(b - a)) for a, b in zip(marks[::2], marks[1::2], strict=True)])
+    def matching_statistics(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes in common with the suffix that sorts before, its position or -1) of text positions, from the samples."""
+        k = np.searchsorted(self.at, positions, "right") - 1
+        moved = positions - self.at[k]
+        length = np.maximum(self.agree[k] - moved, 0)
+        return length, np.where(self.source[k] >= 0, self.source[k] + moved, -1)
+
+    def repeated(self, size: int) -> list[list[tuple[int, int]]]:
+        """For each segment the runs (first window, number of windows) of ``size`` bytes that start at two places.
+
+        Each sample's stream marks the windows that it matches and those that it matches them with; nothing is
+        done position by position.
+        """
+        until = np.append(self.at[1:], self.size) - self.at
+        count = np.minimum(self.agree - size + 1, until)
+        hit = count > 0
+        starts = np.concatenate([self.at[hit], self.source[hit]])
+        stops = starts + np.concatenate([count[hit], count[hit]])
+        out: list[list[tuple[int, int]]] = [[] for _ in self.begins]
+        if not len(starts):
+            return out
+        order = np.argsort(starts, kind="stable")
+        starts, stops = starts[order], np.maximum.accumulate(stops[order])
+        owner = np.searchsorted(self.ends, starts, "right")
+        new = np.append(True, (starts[1:] > stops[:-1]) | (owner[1:] != owner[:-1]))
+        first = np.flatnonzero(new)
+        lasts = np.append(first[1:], len(starts)) - 1
+        for s, a, z in zip(owner[first], starts[first], stops[lasts], strict=True):
+            out[s].append((int(a - self.begins[s]), int(z - a)))
         return out

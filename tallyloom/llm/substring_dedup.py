@@ -7,17 +7,18 @@ text, need only be held against the other segments of the same anchor hash:
 
 1. Texts become anchors with their segments' bounds; anchors that have one place in the corpus are dropped.
 2. Segments of the others are cut out of the distinct texts that hold them; equal ones are counted and kept once.
-3. Anchors with several different segments are indexed, many to a block: windows are sorted, the bytes before
-   them form a run-compressed Burrows-Wheeler transform, agreement with the sorted neighbour is compared at the
-   sampled run ends and streams along the runs, and agreements of ``length`` bytes are marked.
+3. Anchors with several different segments are indexed, many to a block: of the run-compressed Burrows-Wheeler
+   transform the text positions at the runs' ends are sampled, matching statistics stream from the samples along
+   the text, and the strings of ``length`` bytes that they match are marked (:mod:`run_index`).
 4. Marks go back to the segments' places, are merged by text, and the texts are cut.
 
-An anchor with more than ``HOT`` different segments is split: by where in the window the anchor stands, half by
+An anchor with several segments of more than ``HOT`` bytes together is split: by where in the window the anchor stands, half by
 half, each half keyed by the longer string that all its windows share.  A share of all rows thus never meets in
 one index; in the end a key is the whole window, of which one copy is kept.
 
 Texts that occur several times are removed whole, if they are long enough, and take part in the index once.
-Texts are shuffled once, and only those with a repeated anchor are written.
+Texts are shuffled once, and only those with a repeated anchor are written.  Scratch tables go as soon as nothing
+reads them, those behind the result with the session's scratch database.
 
 Defined cases: a null text counts as empty; repeated rows (equal ids too) are documents of their own and so remove
 each other if long enough; shorter texts than ``length`` keep everything; null ids pass through; an empty table
@@ -34,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import blocks, materialize, partitions, read_table, release_shuffles, text_or_empty
+from tallyloom.llm.common import blocks, discard, materialize, partitions, read_table, text_or_empty
 from tallyloom.llm.run_index import RunIndex
 from tallyloom.llm.words import mix, random_values, text_buffer
 
 LENGTH, GRAM = 400, 160
-#: Different segments of one anchor beyond which it is split; bytes of segments that are indexed together.
-HOT, INDEX_BYTES = 2000, 3 << 19
+#: Bytes of one anchor's segments beyond which it is split; bytes of segments that are indexed together.
+HOT, INDEX_BYTES = 1 << 20, 3 << 19
 _U = np.uint64
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = random_values(256, 401)
@@ -157,7 +158,7 @@ def _index(contents: DataFrame, length: int, n: int) -> DataFrame:
 
     def emit(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         c, start, count = [], [], []
-        for (name, _), runs in zip(held, RunIndex([d for _, d in held], length).repeated(), strict=True):
+        for (name, _), runs in zip(held, RunIndex([d for _, d in held]).repeated(length), strict=True):
             for a, k in runs:
                 c.append(name)
                 start.append(a)
@@ -193,12 +194,14 @@ def _split(contents: DataFrame, length: int, gram: int) -> DataFrame:
     """The halves of some contents, by where their windows have the anchor.
 
     parent, offset (of the half in the parent), and what a content has.  ``ra`` and ``rb`` bound the windows' starts
-    relative to the anchor; a half's new anchor is the string that all windows within its bounds share.
+    relative to the anchor; a half's new anchor is the string that all windows within its bounds share.  Of equal
+    halves, as periodic text has them, one brings its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[] for _ in range(8)]
+            told: set[bytes] = set()
             for c, data, n, ra, rb in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 low, _ = window_anchors(np.frombuffer(data, np.uint8), length, gram)
                 at = np.arange(len(low))
@@ -210,8 +213,10 @@ def _split(contents: DataFrame, length: int, gram: int) -> DataFrame:
                     p = int(low[x])
                     core, half = data[p + hi : p + lo + length], data[x : y - 1 + length]
                     name = int.from_bytes(blake2b(core, digest_size=8).digest(), "little", signed=True)
-                    for col, v in zip(rows, (c, int(x), name, _content(half), half, n, lo, hi), strict=True):
+                    what = _content(half)
+                    for col, v in zip(rows, (c, int(x), name, what, None if what in told else half, n, lo, hi), strict=True):
                         col.append(v)
+                    told.add(what)
             kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["parent", "offset", "anchor", "c", "data", "n", "ra", "rb"])
 
@@ -220,10 +225,11 @@ def _split(contents: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _marks(contents: DataFrame, length: int, gram: int, hot: int, n: int) -> DataFrame:
     """c, start, count: the repeated windows of all contents."""
+    size = F.length("data").cast("long")
     levels, links = [], []
     for _ in range(2 + (length - gram + 1).bit_length()):
         whole = contents.where("n > 1").select("c", F.lit(0).alias("start"), (F.length("data") - (length - 1)).alias("count"))
-        large = materialize(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("anchor"))
+        large = materialize(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(size).alias("bytes")).where((F.col("k") > 1) & (F.col("bytes") > hot)).select("anchor"), compact=True)
         if large.isEmpty():
             levels.append(whole.unionByName(_index(contents, length, n)))
             break
@@ -231,7 +237,7 @@ def _marks(contents: DataFrame, length: int, gram: int, hot: int, n: int) -> Dat
         halves = materialize(_split(contents.join(large, "anchor", "left_semi"), length, gram))
         links.append(halves.select("parent", "offset", "c"))
         contents = materialize(
-            halves.groupBy("anchor", "c").agg(F.first("data").alias("data"), F.sum("n").alias("n"), F.first("ra").alias("ra"), F.first("rb").alias("rb")).withColumn("several", F.lit(False))
+            halves.groupBy("anchor", "c").agg(F.first("data", True).alias("data"), F.sum("n").alias("n"), F.first("ra").alias("ra"), F.first("rb").alias("rb")).withColumn("several", F.lit(False))
         )
     out = levels.pop()
     while links:
@@ -279,20 +285,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     repeated = named.where("low != high or several").select("anchor")
     found = anchors.join(repeated, "anchor").groupBy("ka", "kb").agg(F.collect_set(F.struct("anchor", "first", "last", "several")).alias("found"))
     texts = materialize(keyed.select("ka", "kb", "text").dropDuplicates(["ka", "kb"]).join(found, ["ka", "kb"]))
-    release_shuffles(spark)
+    discard(anchors)
 
     cut = _cut_segments(texts, length, True).groupBy("anchor", "c")
     contents = materialize(cut.agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("n"), F.max("several").alias("several")))
-    contents = contents.withColumns({"ra": F.lit(gram - length), "rb": F.lit(0)})
-    marks = materialize(_marks(contents, length, gram, hot, n))
-    release_shuffles(spark)
+    stored = contents.withColumns({"ra": F.lit(gram - length), "rb": F.lit(0)})
+    marks = materialize(_marks(stored, length, gram, hot, n))
+    discard(contents)
 
     runs = _cut_segments(texts, length, False).join(marks, "c").select("ka", "kb", (F.col("first") + F.col("start")).alias("start"), "count")
     by_text = runs.groupBy("ka", "kb").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     done = materialize(_cut_texts(texts.drop("found").join(by_text, ["ka", "kb"]), length))
+    discard(texts, marks)
 
     copies = rows.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("copies"))
     known = materialize(copies.join(done, ["ka", "kb"], "left"), compact=True)
+    discard(done)
     none = F.array().cast("array<struct<start:int,end:int>>")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))

@@ -311,7 +311,7 @@ def test_toxicity_held_out(spark):
 
 
 # 9
-@pytest.mark.parametrize("hot", [4000, 2])
+@pytest.mark.parametrize("hot", [1 << 20, 60])
 def test_repeated_bytes(spark, hot):
     from tallyloom.llm.substring_dedup import repeated_spans
 
@@ -340,19 +340,52 @@ def test_repeated_bytes_odd_cases(spark):
     assert repeated_spans(nothing(spark)).collect() == []
 
 
-def test_run_index_match_lengths():
-    from tallyloom.llm.run_index import RunIndex
+def test_repeated_bytes_of_long_texts(spark):
+    """Passages of 400 bytes and more, one of 399, across the border of a piece, and periodic text."""
+    from tallyloom.llm.substring_dedup import _PIECE, repeated_spans
 
-    index = RunIndex([b"abracadabra-abracadabra", b"xx-abracadabra-yy"], 8)
-    length, near = index.match_lengths()
-    text = b"abracadabra-abracadabraxx-abracadabra-yy"
-    for i in range(len(length)):
-        if near[i] >= 0:
-            a, b, k = index.starts[i], index.starts[near[i]], 0
-            while a + k < index.end[i] and b + k < index.end[near[i]] and text[a + k] == text[b + k]:
-                k += 1
-            assert k == length[i]
-    assert len(index.run_starts) < len(index.order)
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    a, b, c = some(700), some(400), some(399)
+    long = some(_PIECE - 300) + a + some(5000) + b + some(4000)
+    rows = [(1, long), (2, some(50) + a + some(20) + c), (3, c + "é" + b), (4, "xyz" * 30_000), (5, "xyz" * 20_000), (6, some(3000))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in repeated_spans(documents(spark, rows)).collect()}
+    assert got == {1: [(_PIECE - 300, _PIECE + 400), (_PIECE + 5400, _PIECE + 5800)], 2: [(50, 750)], 3: [(401, 801)], 4: [(0, 90_000)], 5: [(0, 60_000)], 6: []}
+
+
+def test_run_index():
+    """Order, backward steps, matching statistics and marks against plain code."""
+    from collections import Counter
+
+    import numpy as np
+
+    from tallyloom.llm.run_index import RunIndex, suffix_ranks
+
+    rng = random.Random(1)
+    for trial in range(60):
+        letters = rng.choice([b"ab", b"abc\0", bytes(range(256))])
+        segments = [bytes(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(rng.randint(1, 6))]
+        if trial % 3 == 0:
+            segments = [segments[0] * rng.randint(1, 4) for _ in segments]
+        if trial % 5 == 0:
+            segments.append(b"")
+        index, data = RunIndex(segments), b"".join(segments)
+        owner = lambda p: int(np.searchsorted(index.ends, p, "right"))  # noqa: B023, E731
+        suffix = lambda p: data[p : index.ends[owner(p)]]  # noqa: B023, E731
+        order = sorted(range(len(data)), key=lambda p: [*(x + 1000 for x in suffix(p)), owner(p)])  # noqa: B023
+        assert np.argsort(suffix_ranks(np.frombuffer(data, np.uint8), np.array(list(map(len, segments))))).tolist() == order
+        rank = {p: k for k, p in enumerate(order)}
+        steps = index.lf(np.arange(len(data)))
+        length, near = index.matching_statistics(np.arange(len(data)))
+        for p, k in rank.items():
+            assert steps[k] == (-1 - owner(p) if p == index.begins[owner(p)] else rank[p - 1])
+            same = len(os.path.commonprefix([suffix(p), suffix(order[k - 1])])) if k else 0
+            assert length[p] == same and (not same or near[p] == order[k - 1])
+        for size in (2, 5, 9):
+            seen = Counter(s[i : i + size] for s in segments for i in range(len(s) - size + 1))
+            for s, runs in zip(segments, index.repeated(size)):
+                assert {i for a, n in runs for i in range(a, a + n)} == {i for i in range(len(s) - size + 1) if seen[s[i : i + size]] > 1}
+    assert len(RunIndex([b"abc" * 1000]).run_starts) == len(RunIndex([b"abc" * 1000]).at) == 4
 
 
 # 10
