@@ -3,14 +3,16 @@
 Documents are compared after white space is deleted.  They are grouped by normalised length, then by the hash
 of a prefix, then by a full hash; every step looks only at documents whose group still has two members.  The
 first pass keeps a few numbers for each document, so the later steps move keys, never texts, and the full
-hash is computed from the text of surviving groups alone unless the caller wants it for all documents.
+hash is computed from the text of surviving groups alone.  A caller who wants the digest of every document gets it
+from the first pass; who stays is decided by the same steps.
 
 Each step aggregates the documents' keys with map-side combining and only then meets the step before, group by
 group.  Groups are joined back to the documents on their key; a key that holds a third of all rows has one row on
 the other side, so that a skewed join partition can be split.
 
 Defined cases: a null text counts as empty, and all texts without other characters are equal; repeated rows
-(equal ids too) are documents of their own, of which each is returned; a null id sorts after all others;
+(equal ids too) are documents of their own, of which each is returned, and since nothing tells them apart, all
+rows with the id that stays are ``kept``, those with a null id if no other id is in their group; a null id sorts after all others;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -45,13 +47,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = materialize(texts.select(*light, full) if hash_all else texts.select(*light))
     by_length = _repeated(keys, "n_norm")
     by_head = materialize(_repeated(keys, "n_norm", "head").join(by_length, "n_norm", "left_semi"), compact=True)
-    if hash_all:
-        candidates = keys
-    else:
-        candidates = materialize(texts.join(by_head, ["n_norm", "head"], "left_semi").select(*light, full))
+    alike = (keys if hash_all else texts).join(by_head, ["n_norm", "head"], "left_semi")
+    candidates = alike if hash_all else materialize(alike.select(*light, full))
     best = F.min_by("doc_id", F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i")))
     groups = candidates.groupBy("n_norm", "head", "sha").agg(F.count(F.lit(1)).alias("group_size"), best.alias("keep_id")).where("group_size > 1")
-    groups = materialize(groups.join(by_head, ["n_norm", "head"], "left_semi"), compact=True)
+    groups = materialize(groups, compact=True)
     if hash_all:
         rows = keys
     else:

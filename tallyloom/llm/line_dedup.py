@@ -1,8 +1,8 @@
 """Line deduplication by site-relative frequency, with DataFrame functions only.
 
 Pages are grouped by host.  The pages of a host that contain a line, divided by all pages of the host, is the
-line's ratio; lines above the boilerplate ratio that stand on enough pages are dropped from every page of that
-host.  A line counts once a page, however often it stands there, and is compared without outer white space.
+line's ratio; lines above the boilerplate ratio are dropped from every page of that host, if they stand on three
+pages at least: on a host of fewer than 30 pages one or two would already be a tenth.  A line counts once a page, however often it stands there, and is compared without outer white space.
 
 Lines travel as a pair of 64-bit hashes and are counted with map-side combining; a line is filtered by its
 minimum page count before it meets its host's total.  At most (mean lines a page) / ratio lines of a host can
@@ -21,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WS_CHARS, materialize, read_table
+from tallyloom.llm.common import WS_CHARS, materialize, new_name, read_table
 
-RATIO, MIN_PAGES = 0.1, 10
+RATIO, MIN_PAGES = 0.1, 3
 #: Dropped lines of all hosts up to which they are broadcast: about 16 bytes each.
 BROADCAST_LINES = 200_000
 
@@ -37,32 +37,36 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(29), line).alias("b"))
 
 
+def _host_key(host: Column) -> Column:
+    """A string for each host; the empty one for null, which no other host has."""
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit(""))
+
+
 def boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per host with dropped lines: _host, _drop (array of line keys), _n."""
-    p = pages.select(F.coalesce(host, F.lit("")).alias("_host"), text.alias("_text"))
-    totals = p.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    lines = p.select("_host", F.explode(F.array_distinct(F.transform(F.split("_text", "\n"), _trim))).alias("line")).where("line != ''")
-    counts = lines.select("_host", _key(F.col("line")).alias("k")).groupBy("_host", "k").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= min_pages)
-    dropped = counts.join(totals, "_host").where(F.col("on") > F.lit(ratio) * F.col("pages"))
-    return dropped.groupBy("_host").agg(F.collect_list("k").alias("_drop"), F.count(F.lit(1)).alias("_n"))
+    """One row per host with dropped lines: host_key, drop (array of line keys), n."""
+    p = pages.select(_host_key(host).alias("host_key"), text.alias("text"))
+    totals = p.groupBy("host_key").agg(F.count(F.lit(1)).alias("pages"))
+    lines = p.select("host_key", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _trim))).alias("line")).where("line != ''")
+    counts = lines.select("host_key", _key(F.col("line")).alias("k")).groupBy("host_key", "k").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= min_pages)
+    dropped = counts.join(totals, "host_key").where(F.col("on") > F.lit(ratio) * F.col("pages"))
+    return dropped.groupBy("host_key").agg(F.collect_list("k").alias("drop"), F.count(F.lit(1)).alias("n"))
 
 
 def line_dedup(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The pages with the host's boilerplate lines taken out of ``text_col``; adds n_lines and n_dropped (long)."""
-    p = pages.drop("n_lines", "n_dropped").withColumn("_host", F.coalesce(host, F.lit("")))
+    p = pages.drop("n_lines", "n_dropped")
+    key, gone, kept = (new_name(p, c) for c in ("host_key", "drop", "kept"))
     drop = materialize(boilerplate_lines(pages, host, F.col(text_col), ratio, min_pages))
-    size = drop.agg(F.sum("_n")).first()[0] or 0
+    size = drop.agg(F.sum("n")).first()[0] or 0
+    drop = drop.select(F.col("host_key").alias(key), F.col("drop").alias(gone))
     if size <= BROADCAST_LINES:
         drop = F.broadcast(drop)
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _key(_trim(x))))
-    out = p.join(drop.drop("_n"), "_host", "left").withColumn("_lines", lines)
-    out = out.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col("_lines")))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    n, k = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(count("_lines")), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(count("_kept"))
-    return out.withColumns(
-        {text_col: F.when(n == k, F.col(text_col)).otherwise(F.array_join("_kept", "\n")), "n_lines": n.cast("long"), "n_dropped": (n - k).cast("long")}
-    ).drop("_host", "_drop", "_lines", "_kept")
+    rest = F.filter(lines, lambda x: ~F.array_contains(F.col(gone), _key(_trim(x))))
+    out = p.withColumn(key, _host_key(host)).join(drop, key, "left").withColumn(kept, F.when(F.col(gone).isNotNull(), rest).otherwise(lines))
+    count = lambda c: F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.coalesce(F.size(c), F.lit(0))).cast("long")
+    n, k = count(lines), count(F.col(kept))
+    return out.withColumns({text_col: F.when(n == k, F.col(text_col)).otherwise(F.array_join(kept, "\n")), "n_lines": n, "n_dropped": n - k}).drop(key, gone, kept)
 
 
 def page_host(url: Column) -> Column:
