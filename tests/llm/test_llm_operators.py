@@ -184,6 +184,47 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len(got) == len(rows) == len({r.core for r in got}) and not {r.core for r in got} & {c for _, c in rows}
 
 
+def test_pii_families_at_scale(spark):
+    """100,000 names: every surrogate distinct and none a real name, one family name for all forms of a family."""
+    from tallyloom.llm.pii import surrogate_table
+
+    names = [f"x{i:x}y" for i in range(33_000)]
+    rows = [("person", f"{'mf'[i % 2]} {n}") for i, n in enumerate(names)] + [("person", f"m john {n}") for n in names] + [("person", f"m james {n}") for n in names] + [("family", n) for n in names[:1000]]
+    rows += [("person", f"m {a}{b} smith") for a in "abcdefghij" for b in "klmnopqrst"] + [("person", "m bademofi"), ("person", "u smith")]
+    core = {(r.kind, r.canon): r.core for r in surrogate_table(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()}
+    assert len(core) >= len(rows) and set(rows) <= set(core)
+    of_family = {n: core["family", n] for n in [*names, "smith"]}
+    assert len(set(of_family.values())) == len(of_family) and not {v.lower() for v in of_family.values()} & {*names, "smith", "bademofi"}
+    for (kind, canon), v in core.items():
+        if kind == "person" and canon != "m bademofi":
+            assert v.split(" ")[-1] == of_family[canon.split(" ")[-1]]
+    assert len({(c[0], v) for (k, c), v in core.items() if k == "person"}) == sum(k == "person" for k, _ in core)
+
+
+def test_pii_forms(spark):
+    """Later mentions of a family, titles, IBAN check digits, clashing column names, against plain code."""
+    from tallyloom.llm.pii import redact
+
+    def iban_rest(s):
+        s = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+    texts = [
+        (1, "Mr. John Smith came. Later Smith called; SMITH was no goldsmith, Smithson neither. Smith's."), (2, "Dr. Jane Doe pays from GB82 WEST 1234 5698 7654 32 to DE89370400440532013000."), (3, "Smith is nobody here"), (4, "Prof Doe"),
+    ]
+    docs = documents(spark, texts)
+    for c in ("_list", "_ents", "_new", "list", "entities", "new", "pattern", "kind", "core"):
+        docs = docs.withColumn(c, F.lit("keep"))
+    rows = redact(docs, "k").collect()
+    got = {r.doc_id: (r.text, r.n_entities) for r in rows}
+    assert all(r[c] == "keep" for r in rows for c in ("_list", "_ents", "_new", "list", "entities", "new", "pattern", "kind", "core"))
+    m = re.fullmatch(r"Mr\. [A-Z]\w+ ([A-Z][a-z]+) came\. Later (\w+) called; SMITH was no goldsmith, Smithson neither\. (\w+)'s\.", got[1][0])
+    assert m and m[1] == m[2] == m[3] != "Smith" and got[1][1] == 3 and got[3] == ("Smith is nobody here", 0)
+    m = re.fullmatch(r"Dr\. [A-Z]\w+ ([A-Z][a-z]+) pays from (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d) to (DE\d{20})\.", got[2][0])
+    assert m and iban_rest(m[2]) == iban_rest(m[3]) == 1 and got[4][0] == f"Prof {m[1]}"
+    assert iban_rest("GB82 WEST 1234 5698 7654 32") == 1
+
+
 def test_pii_secrets_of_letters_alone(spark):
     from tallyloom.llm.pii import redact
 
@@ -209,8 +250,9 @@ def test_pii_leaves_no_tail(spark):
     assert {i: n for i, (_, n) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 2, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1}
     assert not any(run[k : k + 12] in got[1][0] + got[2][0] for k in range(len(run) - 12))
     assert got[1][0].startswith("token=") and got[1][0].endswith(" end") and got[2][0].endswith(". Then")
-    for x in ("Smith", "Paul", "Schulz", "Meier", "Brien", "Seán", "Donald", "Kennedy", "Ludwig", "Beethoven", "jj.kk", "78 90", "Abc", "b.b"):
+    for x in ("Smith", "Schulz", "Meier", "Brien", "Seán", "Donald", "Kennedy", "Ludwig", "Beethoven", "jj.kk", "78 90", "Abc", "b.b"):
         assert not any(x in t for t, _ in got.values()), x
+    assert "Paul" not in got[3][0]  # a listed given name: others may have it for a surrogate
     family = got[10][0].split(" ")[-1]
     assert re.fullmatch(rf"Mr [A-Z][a-z]+ [A-Z][a-z]+ {family} paid; Mr {family}'s dog, Mr {family} left\.", got[3][0])
     assert re.fullmatch(r"call \+4\d \d\d( \d\d){5} now", got[7][0]) and got[5][0].endswith(" ging")
