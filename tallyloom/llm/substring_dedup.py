@@ -41,7 +41,7 @@ from tallyloom.llm.words import mix, random_values, text_buffer
 
 LENGTH, GRAM = 400, 160
 #: Bytes of one anchor's segments beyond which it is split; bytes of segments that are indexed together.
-HOT, INDEX_BYTES = 1 << 20, 3 << 19
+HOT, INDEX_BYTES = 2 << 20, 3 << 19
 _U = np.uint64
 _PIECE = 1 << 18
 _BASE = _U(0x9E3779B97F4A7C15)
