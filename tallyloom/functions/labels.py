@@ -16,9 +16,9 @@ def _classes() -> Column:
 
 
 def question_sum(items: Column, name: str) -> Column:
-    """The last question of that name that has a whole number; 0 if none has."""
-    hits = F.filter(items, lambda q: (q["문항"] == name) & q["문항합계"].try_cast("int").isNotNull())
-    return F.coalesce(F.get(F.transform(F.reverse(hits), lambda q: q["문항합계"].try_cast("int")), F.lit(0)), F.lit(0))
+    """The total of the last question of that name; 0 if there is none or it isn't a whole number."""
+    hits = F.filter(items, lambda q: q["문항"] == name)
+    return F.coalesce(F.get(F.transform(F.reverse(hits), lambda q: F.trim(q["문항합계"]).try_cast("int")), F.lit(0)), F.lit(0))
 
 
 def item_max(items: Column, name: str) -> Column:
@@ -28,9 +28,44 @@ def item_max(items: Column, name: str) -> Column:
 
 
 def class_scores(items: Column) -> Column:
-    """For each class, most severe first, the largest score of the items whose name contains it."""
-    each = lambda c: F.flatten(F.transform(items, lambda q: F.transform(F.filter(q["list"], lambda i: F.contains(i["항목"], F.lit(c))), lambda i: F.coalesce(i["점수"].try_cast("int"), F.lit(0)))))
-    return F.array(*(F.greatest(F.coalesce(F.array_max(each(c)), F.lit(0)), F.lit(0)) for c in ABUSE_ORDER))
+    """For each class, most severe first, the sum of the scores of the abuse question's items whose name contains it."""
+    asked = F.flatten(F.transform(F.filter(items, lambda q: q["문항"] == "학대여부"), lambda q: q["list"]))
+    score = lambda i: F.coalesce(F.trim(i["점수"]).try_cast("int"), F.lit(0))
+    each = lambda c: F.transform(F.filter(asked, lambda i: F.contains(i["항목"], F.lit(c))), score)
+    return F.array(*(F.coalesce(F.aggregate(each(c), F.lit(0), lambda a, x: a + x), F.lit(0)) for c in ABUSE_ORDER))
+
+
+def score_of(label: Column, scores: Column) -> Column:
+    return F.coalesce(F.get(F.filter(F.arrays_zip(_classes().alias("c"), scores.alias("s")), lambda x: x["c"] == label)["s"], F.lit(0)), F.lit(0))
+
+
+def keywords(clinical: Column) -> Column:
+    """The classes that a clinical text names."""
+    return F.filter(_classes(), lambda c: F.contains(F.coalesce(clinical, F.lit("")), c))
+
+
+def sub_source(sub: Column, scores: Column, named: Column, tau: int = SUB_THRESHOLD) -> Column:
+    """both, score, clinical or unknown: what gave a case a secondary label."""
+    by_score, by_text = score_of(sub, scores) >= tau, F.array_contains(named, sub)
+    return F.when(by_score & by_text, "both").when(by_score, "score").when(by_text, "clinical").otherwise("unknown")
+
+
+def case_type(gt: Column, main: Column, subs: Column, sources: Column) -> Column:
+    """A: right main label and others; B: ground truth among the others; C: another from the text; D: right and alone; E: else."""
+    right = F.coalesce(gt == main, F.lit(False))
+    of_text = F.exists(sources, lambda s: s.isin("clinical", "both"))
+    return F.when(right & (F.size(subs) > 0), "A").when(~right & F.coalesce(F.array_contains(subs, gt), F.lit(False)), "B").when(of_text, "C").when(right, "D").otherwise("E")
+
+
+def simple_valence(crisis: Column, total: Column, harm: Column, happy: Column, worry: Column, abuse_q: Column, mood_q: Column, life_q: Column, urgent_q: Column) -> Column:
+    """The valence without ground truth and without protective signs: the first rule that holds decides."""
+    risk = mood_q + life_q + abuse_q + urgent_q
+    calm = (happy == 0) & (worry == 0) & (abuse_q == 0) & (crisis.isNull() | crisis.isin(CRISIS_POSITIVE, CRISIS_NEUTRAL))
+    return (
+        F.when((harm > 0) | (happy >= 7), "부정").when(calm, "긍정")
+        .when(crisis.isin(CRISIS_NEGATIVE), "부정").when(crisis == CRISIS_POSITIVE, "긍정").when(crisis == CRISIS_NEUTRAL, "평범")
+        .when(total >= 45, "부정").when(total <= 10, "긍정").when(risk >= 25, "부정").when(risk <= 10, "긍정").otherwise("평범")
+    )
 
 
 def valence(gt: Column, crisis: Column, total: Column, harm: Column, happy: Column, worry: Column, abuse_q: Column, mood_q: Column, life_q: Column, urgent_q: Column, peers_q: Column, future: Column,
@@ -58,6 +93,14 @@ def record_valence(info: Column, items: Column, gt: Column) -> Column:
     )
 
 
+def record_simple_valence(info: Column, items: Column) -> Column:
+    """``simple_valence`` of a record."""
+    return simple_valence(
+        info["위기단계"], F.trim(info["합계점수"]).try_cast("int"), item_max(items, "자해/자살"), item_max(items, "행복"), item_max(items, "걱정"),
+        question_sum(items, "학대여부"), question_sum(items, "기분문제"), question_sum(items, "기본생활"), question_sum(items, "응급"),
+    )
+
+
 def best_class(scores: Column, above: Column | int) -> Column:
     """The class with the largest score above a bound; ties to the more severe."""
     named = F.filter(F.arrays_zip(_classes().alias("c"), scores.alias("s")), lambda x: x["s"] > above)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import ALPHA
 from tallyloom.functions.special import chi2_sf, f_sf, safe_div, t_two_sided
+from tallyloom.operators.windows import running_sum
 
 
 def _add(cols) -> Column:
@@ -44,15 +45,16 @@ def top_chi2(stats: DataFrame, k: int = 200) -> DataFrame:
 def bh_fdr(rows: DataFrame, p: str = "p_value", out: str = "p_fdr_bh") -> DataFrame:
     """Benjamini-Hochberg q-values; null p-values keep a null.
 
-    Only one row for each distinct p-value takes part in the ordered window: its largest rank is the number of
-    p-values up to it, so ties share their smallest q.
+    Only one row for each distinct p-value takes part in the ordered windows, which run within slices of the values:
+    a value's largest rank is the number of p-values up to it, so ties share their smallest q.
     """
     counts = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.orderBy("_p")
-    m = F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = counts.select("_p", F.sum("_k").over(w).alias("_rank"), m.alias("_m"))
-    q = F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return rows.join(ranked.select("_p", F.least(q, F.lit(1.0)).alias(out)), rows[p] == F.col("_p"), "left").drop("_p")
+    ranked = running_sum(counts, "_p", "_k", "_rank").join(F.broadcast(counts.agg(F.sum("_k").alias("_m")))).withColumn("_q", F.col("_p") * F.col("_m") / F.col("_rank"))
+    after = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    later = ranked.groupBy("_slice").agg(F.min("_q").alias("_least")).select("_slice", F.min("_least").over(after).alias("_later"))  # a row a slice
+    here = F.min("_q").over(Window.partitionBy("_slice").orderBy("_p").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    q = ranked.join(F.broadcast(later), "_slice").select("_p", F.least(here, F.col("_later"), F.lit(1.0)).alias(out))
+    return rows.join(q, rows[p] == F.col("_p"), "left").drop("_p")
 
 
 def log_odds(wide: DataFrame, classes: list[str], alpha: float = ALPHA) -> DataFrame:
@@ -118,13 +120,14 @@ def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
     cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     ra = cells.groupBy(a).agg(F.sum("o").alias("ra"))
     cb = cells.groupBy(b).agg(F.sum("o").alias("cb"))
-    size = ra.agg(F.count(F.lit(1)).alias("r"), F.sum("ra").alias("n")).join(F.broadcast(cb.agg(F.count(F.lit(1)).alias("c"))))
-    full = ra.join(cb).join(cells, [a, b], "left").join(F.broadcast(size))  # categories of both sides, short lists
-    e = F.col("ra") * F.col("cb") / F.col("n")
-    d = F.abs(F.coalesce("o", F.lit(0)) - e)
-    one = (F.col("r") - 1) * (F.col("c") - 1) == 1
-    d = F.when(one, d - F.least(F.lit(0.5), d)).otherwise(d)
-    out = full.groupBy("r", "c", "n").agg(F.sum(d * d / e).alias("chi2")).withColumn("dof", (F.col("r") - 1) * (F.col("c") - 1))
+    r, c = ra.agg(F.count(F.lit(1)).alias("r"), F.sum("ra").alias("n"), F.sum(1.0 / F.col("ra")).alias("ir")), cb.agg(F.count(F.lit(1)).alias("c"), F.sum(1.0 / F.col("cb")).alias("ic"))
+    size = r.join(F.broadcast(c))  # two rows of sums
+    e = F.col("ra").cast("double") * F.col("cb") / F.col("n")
+    seen = cells.join(ra, a).join(cb, b).join(F.broadcast(size)).groupBy("r", "c", "n", "ir", "ic").agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("s"), F.sum(e).alias("se"), F.max(F.abs(F.col("o") - e)).alias("d"))
+    # cells that don't occur add what is expected of them; of two by two cells all differ by the same
+    dof, d = (F.col("r") - 1) * (F.col("c") - 1), F.col("d") - F.least(F.lit(0.5), F.col("d"))
+    corrected = d * d * F.col("n") * F.col("ir") * F.col("ic")
+    out = seen.select("r", "c", "n", F.when(dof == 1, corrected).otherwise(F.col("s") + F.col("n") - F.col("se")).alias("chi2"), dof.alias("dof"))
     v = F.sqrt(safe_div(F.col("chi2") / F.col("n"), F.least("r", "c") - 1))
     return out.select("n", "chi2", "dof", v.alias("cramers_v"))
 
@@ -174,10 +177,12 @@ def spearman(rows: DataFrame, a: str, b: str, by: str | None = None) -> DataFram
     keys = [by] if by else []
 
     def ranked(c: str) -> DataFrame:
-        counts = rows.groupBy(*keys, F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("_k"))
-        w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(f"_{c}")
-        upto = F.sum("_k").over(w)
-        return counts.select(*keys, f"_{c}", (upto - (F.col("_k") - 1) / 2).alias(f"_r{c}"))
+        counts = rows.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("_k"))
+        if by:
+            upto = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy(by).orderBy(f"_{c}")))
+        else:
+            upto = running_sum(counts, f"_{c}", "_k", "_upto")
+        return upto.select(*keys, f"_{c}", (F.col("_upto") - (F.col("_k") - 1) / 2).alias(f"_r{c}"))
 
     out = rows.select(*keys, F.col(a).alias(f"_{a}"), F.col(b).alias(f"_{b}")).join(ranked(a), [*keys, f"_{a}"]).join(ranked(b), [*keys, f"_{b}"])
     return out.groupBy(*keys).agg(F.corr(f"_r{a}", f"_r{b}").alias("rho"), F.count(F.lit(1)).alias("n"))

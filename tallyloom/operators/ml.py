@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +15,32 @@ from pyspark.sql import functions as F
 from tallyloom.operators.windows import folds
 
 
-def tfidf(tokens_col: str = "toks", min_df: int = 2, max_features: int = 20_000, bigrams: bool = True, out: str = "features") -> Pipeline:
-    """Word and bigram counts, inverse document frequency and unit length."""
-    both = SQLTransformer(statement=f"SELECT *, concat({tokens_col}, _bigrams) AS _terms FROM __THIS__" if bigrams else f"SELECT *, {tokens_col} AS _terms FROM __THIS__")
-    stages = [NGram(n=2, inputCol=tokens_col, outputCol="_bigrams")] if bigrams else []
-    return Pipeline(stages=[*stages, both, CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=float(min_df), vocabSize=max_features), IDF(inputCol="_counts", outputCol="_idf"), Normalizer(p=2.0, inputCol="_idf", outputCol=out)])
+class TfIdf:
+    """Word and bigram counts times 1 + ln((1 + n) / (1 + df)), in unit length.
+
+    Terms of fewer than ``min_df`` rows are left out; if that leaves none, those of one row count too.
+    """
+
+    def __init__(self, tokens_col: str, min_df: int, max_features: int, bigrams: bool, out: str):
+        self.tokens_col, self.min_df, self.max_features, self.bigrams, self.out = tokens_col, min_df, max_features, bigrams, out
+
+    def _counts(self, rows: DataFrame, min_df: int) -> PipelineModel:
+        terms = f"concat({self.tokens_col}, _bigrams)" if self.bigrams else self.tokens_col
+        stages = [NGram(n=2, inputCol=self.tokens_col, outputCol="_bigrams")] if self.bigrams else []
+        return Pipeline(stages=[*stages, SQLTransformer(statement=f"SELECT *, {terms} AS _terms FROM __THIS__"), CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=float(min_df), vocabSize=self.max_features)]).fit(rows)
+
+    def fit(self, rows: DataFrame) -> PipelineModel:
+        try:
+            counted = self._counts(rows, self.min_df)
+        except IllegalArgumentException:  # no term is frequent enough
+            counted = self._counts(rows, 1)
+        idf = IDF(inputCol="_counts").fit(counted.transform(rows)).idf
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_counts", outputCol="_weighted")
+        return PipelineModel([*counted.stages, scale, Normalizer(p=2.0, inputCol="_weighted", outputCol=self.out)])
+
+
+def tfidf(tokens_col: str = "toks", min_df: int = 2, max_features: int = 20_000, bigrams: bool = True, out: str = "features") -> TfIdf:
+    return TfIdf(tokens_col, min_df, max_features, bigrams, out)
 
 
 def classifier(kind: str, label: str = "label", n: int = 1000, seed: int = 42):
@@ -25,7 +48,7 @@ def classifier(kind: str, label: str = "label", n: int = 1000, seed: int = 42):
     if kind == "lr":
         return LogisticRegression(labelCol=label, maxIter=50, tol=1e-4, regParam=1.0 / n, standardization=False, family="multinomial")
     if kind == "rf":
-        return RandomForestClassifier(labelCol=label, numTrees=200, maxDepth=12, seed=seed)
+        return RandomForestClassifier(labelCol=label, numTrees=200, maxDepth=30, seed=seed)
     return OneVsRest(labelCol=label, classifier=LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False))
 
 

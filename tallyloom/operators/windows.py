@@ -6,6 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Slices that an ordered window over all rows is cut into.
+SLICES = 64
+
+
+def sliced(rows: DataFrame, order: str, n: int = SLICES) -> DataFrame:
+    """Adds _slice, which grows with ``order``: the values between about equal parts, of which at most n numbers are fetched."""
+    edges = rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    cuts = F.array(*(F.lit(float(e)) for e in sorted(set(edges)))).cast("array<double>")
+    return rows.withColumn("_slice", F.size(F.filter(cuts, lambda e: e < F.col(order))))
+
+
+def running_sum(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Adds _slice and the sum of ``value`` up to each row in ``order``: within slices, upon the sums of the slices before."""
+    s = sliced(rows, order)
+    each = s.groupBy("_slice").agg(F.sum(value).alias("_sum"))
+    before = each.select("_slice", (F.sum("_sum").over(Window.orderBy("_slice")) - F.col("_sum")).alias("_before"))  # a row a slice
+    here = F.sum(value).over(Window.partitionBy("_slice").orderBy(order))
+    return s.join(F.broadcast(before), "_slice").withColumn(out, here + F.col("_before")).drop("_before")
+
+
 def quantile_bins(rows: DataFrame, value: str, n: int) -> DataFrame:
     """Adds bin (1-based): right-closed intervals between the exact, distinct quantile edges; the lowest value is in bin 1."""
     edges = rows.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / n) for i in range(n + 1)))))).alias("_edges"))

@@ -40,7 +40,16 @@ def permutation_chi2(spark, d):
 @query()
 def bridge_bootstrap(spark, d):
     docs, words = _docs_words(spark, d)
-    return resample.bridge_bootstrap(docs, words.join(_bridges(spark, d).select("word"), "word", "left_semi"), b.K4, n=200)
+    return resample.bridge_bootstrap(docs, words, b.K4, n=200)
+
+
+@query()
+def bridge_boot_shuffle(spark, d):
+    """Bootstrap against label permutations, both 200 times, over all words."""
+    docs, words = _docs_words(spark, d)
+    frequent = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("word")
+    kept = words.join(frequent, "word", "left_semi")
+    return resample.bootstrap_against_shuffle(resample.bridge_bootstrap(docs, kept, b.K4, n=200), resample.bridge_shuffle(docs, kept, b.K4, n=200), list(BRIDGE_CONFIGS))
 
 
 @query()
@@ -76,7 +85,7 @@ def ca_rows(spark, d):
 def procrustes_doc_vs_token(spark, d):
     docs = b.docs_k4(spark, d)
     top = assoc.top_chi2(b.chi2_k4(spark, d))
-    tok = counts.token_counts(docs.withColumnsRenamed({}), F.col("toks"), "grp", b.K4, 5).join(top.select("word"), "word", "left_semi")
+    tok = counts.token_counts(docs, F.col("toks"), "grp", b.K4, 5).join(top.select("word"), "word", "left_semi")
     (wa, x), (wb, y) = geometry.matrix(top, b.K4), geometry.matrix(tok, b.K4)
     both = sorted(set(wa) & set(wb))
     x, y = x[:, [wa.index(w) for w in both]], y[:, [wb.index(w) for w in both]]
@@ -86,13 +95,14 @@ def procrustes_doc_vs_token(spark, d):
 
 @query()
 def alpha_ca(spark, d):
-    """Inertia of the first axes of weighted counts over alpha, and the alignment with alpha 0."""
+    """Inertia of the first axes of weighted counts over alpha, words by chi-square, and the alignment with alpha 0."""
     m = b.labelled(spark, d)
     classes = ["q0", "q1", "t0", "t1"]
     main, sub = F.concat(F.lit("q"), F.col("quality").cast("string")), F.concat(F.lit("t"), F.col("toxic").cast("string"))
     rows, first = [], None
-    for alpha in (0.3, 0.5, 0.7, 1.0):
-        wide = counts.weighted_counts(m, F.col("toks"), main, F.array(sub), alpha, classes, 20).orderBy(F.desc("total"), "word").limit(200)
+    for alpha in (0.0, 0.3, 0.5, 0.7, 1.0):
+        wide = counts.weighted_counts(m, F.col("toks"), main, F.array(sub), alpha, classes, 20)
+        wide = assoc.word_chi2(wide, 4).orderBy(F.desc(F.round("chi2", 9)), "word").limit(200)
         ca = geometry.correspondence(geometry.matrix(wide, classes)[1])
         first = ca["rows"] if first is None else first
         rows.append((alpha, float(ca["inertia"][0]), float(ca["inertia"][1]), geometry.procrustes(first, ca["rows"], True)))
@@ -118,10 +128,11 @@ def kmeans_soft_table(spark, d):
 
 @query()
 def mantel_classes(spark, d):
-    """Spearman correlation of the class distances by counts and by lengths, over languages."""
-    wide = counts.doc_counts(b.docs_k4(spark, d), F.col("toks"), "lang", b.LANGS, 5).orderBy(F.desc("total"), "word").limit(200)
-    x = geometry.correspondence(geometry.matrix(wide, b.LANGS)[1], 3)["rows"]
-    y = geometry.correspondence(geometry.matrix(wide, b.LANGS)[1], 2)["rows"]
+    """Spearman correlation of the languages' distances by document counts and by token counts."""
+    docs = b.docs_k4(spark, d)
+    best = lambda t: t.orderBy(F.desc("total"), "word").limit(200)
+    x = geometry.correspondence(geometry.matrix(best(counts.doc_counts(docs, F.col("toks"), "lang", b.LANGS, 5)), b.LANGS)[1])["rows"]
+    y = geometry.correspondence(geometry.matrix(best(counts.token_counts(docs, F.col("toks"), "lang", b.LANGS, 5)), b.LANGS)[1])["rows"]
     dist = lambda m: ((m[:, None] - m[None]) ** 2).sum(2) ** 0.5
     r, p = geometry.mantel(dist(x), dist(y), 99)
     return spark.createDataFrame([(r, p)], "rho double, p_value double")
@@ -142,13 +153,15 @@ def tfidf_cv_lr(spark, d):
 @query()
 def ovr_probs(spark, d):
     m = b.labelled(spark, d).select("doc_id", "toks", "y")
-    return ml.binary_relevance(m, ["foreign", "toxic"], "y", k=2)
+    return ml.binary_relevance(m, ["foreign", "toxic"], "y", k=5)
 
 
 @query()
 def bridge_rerank(spark, d):
+    """Out-of-fold probabilities of all labels, ranked again with the rule's scores."""
     m = b.labelled(spark, d)
-    p = m.select("doc_id", *(F.lit(0.45).alias(f"p_{c}") for c in b.LABELS))
+    fitted = ["foreign", "toxic"]
+    p = ml.binary_relevance(m.select("doc_id", "toks", "y"), fitted, "y", k=3)
     s = m.select("doc_id", *(F.when(F.array_contains("p", c), 1.0).otherwise(0.0).alias(f"b_{c}") for c in b.LABELS))
     return ml.rerank(p, s, "doc_id", b.LABELS, 0.2, 0.0).select("doc_id", F.array_join("pred", "|").alias("pred"))
 
