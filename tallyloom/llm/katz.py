@@ -21,6 +21,10 @@ Words that hold more than a quarter of a partition's share of all tokens are hot
 are split over all partitions by the bigram's other half, and their totals, at most four for each bucket, are
 broadcast.  A bigram that a document repeats is one entry with a count.
 
+A chunk gives at most one piece a bucket, and chunks grow with the buckets (``CHUNK_BUCKET`` bytes of text for each),
+so that the pieces keep their size and their number follows the text.  Beyond ``CHUNK_MOST`` pieces get smaller; there
+are never more than bigrams.  A bucket and a chunk are held whole by one task.
+
 Defined cases: a null or empty text is the end token alone; repeated rows are documents of their own; a null id
 counts as an empty one for ``held_out`` and is carried along; without training rows every score is 0 (one class);
 an empty table gives an empty result; extra columns are ignored.
@@ -42,8 +46,8 @@ from tallyloom.llm.words import mix, random_values, text_buffer, word_hashes
 
 #: Counts up to K are discounted.
 K = 5
-#: Bytes of text whose bigrams are counted together before they are dealt out.
-CHUNK = 8 << 20
+#: Bytes of text whose bigrams are counted together before they are dealt out: at least, for each bucket, at most.
+CHUNK, CHUNK_BUCKET, CHUNK_MOST = 8 << 20, 2048, 64 << 20
 _U = np.uint64
 START, END = random_values(2, 911)
 _META = -1
@@ -141,7 +145,7 @@ def _deal_bigrams(docs: DataFrame, hot, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = hot.value[0]
         chunk = TaskContext.get().partitionId() << 32
-        for b in blocks(batches, CHUNK):
+        for b in blocks(batches, min(max(CHUNK, n * CHUNK_BUCKET), CHUNK_MOST)):
             h, w, sizes = _tokens(b.column(2))
             doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
             held = np.array(b.column(1), bool)

@@ -7,7 +7,8 @@ give the Nyström features (kernel values times the inverse root of the landmark
 one-versus-rest kernel ridge regression is solved in closed form.  Documents are scored by batched matrix
 products: presence matrix times landmark matrix, normalised, times the weights.
 
-Only a bounded sample of labelled rows is fitted (``PER_CLASS`` rows of each language, all of a smaller one);
+Only a bounded sample of labelled rows is fitted (``PER_CLASS`` rows of each language, all of a smaller one, texts of
+``FIT_CHARS`` characters or fewer);
 the model, some 25 MB at most, is broadcast; nothing else leaves the executors and no document is shuffled.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; equal scores go to the first
@@ -32,8 +33,8 @@ from tallyloom.llm.sample import per_class
 MAX_N, BITS = 4, 16
 #: Labelled rows of each language that are fitted, about; landmarks among all of them; ridge parameter.
 PER_CLASS, LANDMARKS, RIDGE = 300, 96, 0.05
-#: Fitted rows of all languages together.
-MAX_ROWS = 20_000
+#: Fitted rows of all languages together, and their longest text in characters: what comes to the driver is bounded by both.
+MAX_ROWS, FIT_CHARS = 4000, 20_000
 #: Documents that one matrix product scores.
 ROWS = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +145,7 @@ class Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_CLASS) -> Model:
     """Fits a model to a bounded sample of the rows with a language; the rows are chosen by the hash of their id."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= FIT_CHARS)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     picked = sorted((r["lang"], r["text"]) for r in per_class(rows, "lang", F.col("id"), per_lang, MAX_ROWS).toLocalIterator())
     return Model([t for _, t in picked], [y for y, _ in picked])
 

@@ -140,6 +140,14 @@ def test_exact_dedup(spark, hash_all):
     assert exact_dedup(nothing(spark), hash_all=hash_all).collect() == []
 
 
+def test_exact_dedup_repeated_and_null_ids(spark):
+    from tallyloom.llm.exact_dedup import exact_dedup
+
+    rows = [(1, "a b"), (1, "ab"), (2, "ab"), (None, "x"), (None, "x "), (7, ""), (8, None)]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(documents(spark, rows), hash_all=True).collect()), key=str)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (None, None, 2, True), (None, None, 2, True), (7, 7, 2, True), (8, 7, 2, False)], key=str)
+
+
 # 4
 def test_pii_surrogates(spark):
     from tallyloom.llm.pii import redact
@@ -305,6 +313,50 @@ def test_language_id(spark):
 
 
 # 7
+def test_language_kernel_and_ridge():
+    """Kernel values from plain sets of n-grams, the ridge solution from the normal equations, ties to the first language."""
+    import numpy as np
+
+    from tallyloom.llm import langid
+
+    texts = ["the tree and the river", "a tree by the house", "der baum und der fluss", "ein baum am haus", "el arbol y el rio", "un arbol en la casa"]
+    langs = ["en", "en", "de", "de", "es", "es"]
+    m = langid.Model(texts, langs, landmarks=4, ridge=0.5)
+
+    def grams(t):
+        codes = "".join(chr(c) if c else " " for c in langid.letter_codes(t).tolist())
+        assert codes == f" {t} "
+        return {codes[i : i + n] for n in range(1, langid.MAX_N + 1) for i in range(len(codes) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    pick = m._spread(np.array(langs, object), 4)
+    k = np.array([[len(a & sets[j]) / (len(a) * len(sets[j])) ** 0.5 for j in pick] for a in sets])
+    assert np.allclose(langid.Model._normalised(texts) @ m.marks, k, atol=0.02)  # a few n-grams share a hash
+    k = (langid.Model._normalised(texts) @ m.marks).astype(float)
+    values, vectors = np.linalg.eigh(k[pick])
+    z = np.hstack([k @ (vectors / np.sqrt(values)), np.ones((6, 1))])
+    y = np.array([[1.0 if a == b else -1.0 for b in m.langs] for a in langs])
+    beta = np.linalg.lstsq(np.vstack([z, np.sqrt(0.5 * 6 / 100) * np.eye(z.shape[1])]), np.vstack([y, np.zeros((z.shape[1], 3))]), rcond=None)[0]
+    assert np.allclose(k @ m.weights + m.bias, z @ beta, atol=1e-3)
+    tied = langid.Model(["same words", "same words"], ["zz", "aa"])
+    assert tied.predict(["same words", "12", None])[0] == ["aa", "und", "und"]
+
+
+def test_line_dedup_null_hosts_and_clashing_names(spark):
+    from tallyloom.llm.line_dedup import line_dedup
+
+    rows = [(None, f"common\nown {i}") for i in range(20)] + [("", f"other {i}") for i in range(420)] + [("", "common\nx")]
+    pages = spark.createDataFrame(rows, "host string, text string")
+    for c in ("_host", "_drop", "_kept", "_lines", "_n", "host_key", "drop", "kept"):
+        pages = pages.withColumn(c, F.lit("keep"))
+    got = line_dedup(pages, F.col("host")).collect()
+    assert all(r[c] == "keep" for r in got for c in ("_host", "_drop", "_kept", "_lines", "_n", "host_key", "drop", "kept"))
+    assert sorted(r.text for r in got if r.host is None) == sorted(f"own {i}" for i in range(20))
+    assert [r.n_dropped for r in got if r.text == "common\nx"] == [0]
+    few = spark.createDataFrame([("h", f"menu\npage {i}") for i in range(3)] + [("g", "menu\na"), ("g", "menu\nb")], "host string, text string")
+    assert sorted(r.text for r in line_dedup(few, F.col("host")).collect()) == ["menu\na", "menu\nb", "page 0", "page 1", "page 2"]
+
+
 def test_line_dedup(spark):
     from tallyloom.llm.line_dedup import line_dedup
 
@@ -352,6 +404,35 @@ def test_toxicity_held_out(spark):
     assert hit / sum(r.toxic for r in rows) > 0.6 and hit / max(1, sum(r.predicted for r in rows)) > 0.8
 
 
+def test_toxicity_score_is_the_double_sum():
+    import math
+
+    import numpy as np
+
+    from tallyloom.llm import toxicity
+
+    texts = ["good tree", "bad tree grows", "zib folk", "folk tree", "zib tree", ""]
+    features = np.array(sorted({t for x in texts[:3] for t in toxicity.terms(x)}), np.int64)
+    rng = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine(features, 0.3, rng.normal(size=len(features)), rng.normal(size=(len(features), 3)))
+    for text in texts:
+        at = [i for i, f in enumerate(features) if int(f) in toxicity.terms(text)]
+        z = 0.3 + sum(m.weights[i] for i in at) + sum(sum(a * b for a, b in zip(m.factors[i], m.factors[j])) for i in at for j in at if i < j)
+        assert abs(m.score(text) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_ties(spark):
+    """Equal texts score alike, and a score of exactly the threshold counts."""
+    import numpy as np
+
+    from tallyloom.llm import toxicity
+
+    z = float(np.log(0.7 / 0.3)) + 1e-12
+    model = toxicity.FactorizationMachine(np.zeros(0, np.int64), z, np.zeros(0), np.zeros((0, 2)))
+    got = toxicity.score(documents(spark, [(1, "a b"), (1, "a b"), (2, "c")]), model).collect()
+    assert {r.score >= toxicity.THRESHOLD for r in got} == {True} and len({r.score for r in got}) == 1
+
+
 # 9
 @pytest.mark.parametrize("hot", [1 << 20, 60])
 def test_repeated_bytes(spark, hot):
@@ -450,6 +531,26 @@ def test_near_duplicates(spark, size):
     assert got == brute.near_groups(rows, size)
 
 
+def test_near_duplicates_in_blocks(spark):
+    """An open bucket of several components, more than one block, and a column named like a helper."""
+    from tallyloom.llm import near_dedup
+
+    rng = random.Random(3)
+    frame = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(6):  # texts that share most words meet in buckets without being similar enough
+        base = frame[:45] + [f"g{g}x{i}" for i in range(15)]
+        for _ in range(110):
+            x = list(base)
+            x[rng.randrange(45, 60)] = f"r{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(x)))
+    docs = documents(spark, rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, size=4).collect()}
+    assert got == brute.near_groups(rows, 4)
+    kept = near_dedup.one_of_each_group(docs.withColumn("_hash", F.lit("keep")).withColumn("hash", F.lit("keep")), size=4).collect()
+    assert {(r["_hash"], r["hash"]) for r in kept} == {("keep", "keep")} and len(kept) == len({c for _, c in got.values()})
+
+
 def test_near_duplicates_odd_cases(spark):
     from tallyloom.llm.near_dedup import near_duplicates, one_of_each_group
 
