@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec
@@ -30,9 +29,8 @@ class TfIdf:
         return Pipeline(stages=[*stages, SQLTransformer(statement=f"SELECT *, {terms} AS _terms FROM __THIS__"), CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=float(min_df), vocabSize=self.max_features)]).fit(rows)
 
     def fit(self, rows: DataFrame) -> PipelineModel:
-        try:
-            counted = self._counts(rows, self.min_df)
-        except IllegalArgumentException:  # no term is frequent enough
+        counted = self._counts(rows, self.min_df)
+        if self.min_df > 1 and not counted.stages[-1].vocabulary:
             counted = self._counts(rows, 1)
         idf = IDF(inputCol="_counts").fit(counted.transform(rows)).idf
         scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_counts", outputCol="_weighted")

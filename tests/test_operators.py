@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyloom.constants import BRIDGE_CONFIGS
 from tallyloom.functions import arrays as ar
@@ -72,11 +73,52 @@ def test_qa_pairs(spark):
 
 def record(ident, items=(), crisis=None, total=None, gt=None, clinical=None, questions=()):
     audio = [{"type": "A", "text": " 말 "}, {"type": "Q", "text": "물음"}, {"type": "A", "text": " "}]
-    qs = [{"문항": "첫째", "문항합계": "x", "list": [{"항목": n, "점수": s, "audio": audio} for n, s in items]}]
+    qs = [{"문항": "학대여부", "문항합계": "x", "list": [{"항목": n, "점수": s, "audio": audio} for n, s in items]}]
     qs += [{"문항": n, "문항합계": s, "list": []} for n, s in questions]
     return {"info": {"ID": ident, "위기단계": crisis, "합계점수": total, "학대의심": gt, "임상진단": clinical}, "list": qs}
 
 
+def test_scores_are_sums_of_the_abuse_question(spark):
+    """Several items of a class add up, items of other questions don't count; the last total of a question decides."""
+    question = lambda name, total, *items: (name, total, [(n, s, []) for n, s in items])
+    rows = [
+        (1, [question("학대여부", "1", ("신체학대", "3"), ("신체학대 정도", "4"), ("방임", "x"), ("방임 정도", " 2 ")), question("기타", "9", ("신체학대", "50")), question("학대여부", "7", ("정서학대", "1"))]),
+        (2, [question("학대여부", "5"), question("학대여부", "없음")]), (3, []), (4, [question("학대여부", "3.7", ("성학대", "2.5"))]),
+    ]
+    t = spark.createDataFrame(rows, StructType([StructField("id", IntegerType()), StructField("items", records.QUESTIONS)]))
+    got = {r.id: (r.scores, r.q) for r in t.select("id", lb.class_scores(F.col("items")).alias("scores"), lb.question_sum(F.col("items"), "학대여부").alias("q")).collect()}
+    assert got == {1: ([0, 7, 1, 2], 7), 2: ([0, 0, 0, 0], 0), 3: ([0, 0, 0, 0], 0), 4: ([0, 0, 0, 0], 0)}
+
+
+def test_tfidf_weighs_by_one_plus_idf(spark):
+    import math
+
+    from tallyloom.operators import ml
+
+    rows = spark.createDataFrame([(["a", "b"],), (["a", "a"],), (["a"],)], "toks array<string>")
+    model = ml.tfidf(min_df=1, bigrams=False).fit(rows)
+    words = model.stages[1].vocabulary
+    got = model.transform(rows).select("features").collect()[0][0].toArray()
+    raw = {"a": 1.0, "b": math.log(4 / 2) + 1}
+    size = math.hypot(*raw.values())
+    assert all(abs(got[words.index(w)] - raw[w] / size) < 1e-9 for w in raw)
+    assert len(ml.tfidf(min_df=9, bigrams=False).fit(rows).stages[1].vocabulary) == 2  # none is frequent enough: all count
+
+
+def test_two_groups():
+    import numpy as np
+
+    from tallyloom.operators import spaces
+
+    larger, smaller = np.array([3.0, 4.0, 5.0, 5.0]), np.array([1.0, 2.0, 3.0])
+    u, p = spaces.rank_test(larger, smaller)
+    assert u == sum((a > b) + 0.5 * (a == b) for a in larger for b in smaller) and 0.01 < p < 0.06
+    assert abs(spaces.effect_size(larger, smaller) - (4.25 - 2) / ((4 * larger.var() + 3 * smaller.var()) / 7) ** 0.5) < 1e-12
+    x = np.vstack([np.random.default_rng(1).normal(0, 0.1, (10, 2)), np.random.default_rng(2).normal(3, 0.1, (10, 2))])
+    r = spaces.two_groups(x, np.arange(20) < 10, 199)
+    assert r["p_perm"] == 1 / 200 and r["cohens_d"] > 5 and r["mean_between"] > r["mean_within"]
+
+
 def test_records(spark, tmp_path):
     data = [
         record("a", gt="신체학대"), record("b", crisis="정상군"), record("c", [("자해/자살", 1)], "정상군"), record("d", [("신체학대 항목", 8), ("정서학대 항목", 5), ("방임 항목", "12")], total="abc"),

@@ -33,12 +33,13 @@ def test_twin(spark, con, name):
     assert canonical(got) == canonical(want)
 
 
-SLOW = {"tfidf_cv_lr", "ovr_probs"}
+#: Minutes each: classifiers fitted fold by fold, hundreds of resamples of all words.
+SLOW = {"tfidf_cv_lr", "ovr_probs", "bridge_rerank", "permutation_chi2", "bridge_bootstrap", "bridge_boot_shuffle", "null_summary", "stability", "confirm"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_entry(spark):
