@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.arrays import error_type, jaccard
 from tallyloom.functions.special import safe_div
+from tallyloom.operators.assoc import kappa
 from tallyloom.operators.labelsets import _n, _unpivot
 
 
@@ -51,6 +52,22 @@ def recovery(rows: DataFrame, true: Column, pred: Column, main: Column) -> DataF
     return rows.agg(F.count(F.lit(1)).alias("n"), _n(F.size(lost) > 0).alias("n_lost_docs"), F.avg(F.when(F.size(lost) > 0, back)).alias("irr"))
 
 
+def pair_boundaries(rows: DataFrame, true: Column, pred: Column, order: list[str]) -> DataFrame:
+    """a, b, n, n_found, rate: rows whose true set holds both labels, and how many predictions hold both; a null rate for none."""
+    pairs = [(x, y) for i, x in enumerate(order) for y in order[i + 1 :]]
+    both = lambda s, x, y: F.array_contains(s, x) & F.array_contains(s, y)
+    one = rows.agg(*(c for i, (x, y) in enumerate(pairs) for c in (_n(both(true, x, y)).alias(f"n{i}"), _n(both(true, x, y) & both(pred, x, y)).alias(f"f{i}"))))
+    return _unpivot(one, [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"f{i}").alias("n_found"), safe_div(F.col(f"f{i}"), F.col(f"n{i}"), None).alias("rate")) for i, (x, y) in enumerate(pairs)])
+
+
+def class_report(rows: DataFrame, truth: str, pred: str, order: list[str]) -> DataFrame:
+    """One row on single labels: n, accuracy, kappa, micro_f1, macro_f1, weighted_f1 over the classes of ``order``."""
+    t, p = F.array(F.col(truth)), F.array(F.col(pred))
+    f = overall_metrics(rows, t, p, order).select("micro_f1", "macro_f1", "weighted_f1")
+    k = kappa(rows, F.col(truth), F.col(pred)).select("n", F.col("po").alias("accuracy"), "kappa")
+    return k.join(F.broadcast(f))  # two rows of sums
+
+
 def companion_boundary(rows: DataFrame, true: Column, pred: Column, main: Column, pred_main: Column) -> DataFrame:
     """One row: companion_recall (of the other labels, without the predicted main), main_preserved."""
     subs, found = F.filter(true, lambda c: c != main), F.filter(pred, lambda c: c != pred_main)

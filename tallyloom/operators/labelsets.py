@@ -30,7 +30,7 @@ def transitions(rows: DataFrame, main: Column, others: Column) -> DataFrame:
     """main, sub, n, p: how often a main label's documents have another label."""
     totals = rows.groupBy(main.alias("main")).agg(F.count(F.lit(1)).alias("docs"))
     pairs = rows.select(main.alias("main"), F.explode(F.array_distinct(others)).alias("sub")).where("main != sub").groupBy("main", "sub").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.join(F.broadcast(totals), "main").select("main", "sub", "n", (F.col("n") / F.col("docs")).alias("p"))  # one row a class
+    return pairs.join(totals, "main").select("main", "sub", "n", (F.col("n") / F.col("docs")).alias("p"))
 
 
 def poly_rate(rows: DataFrame, labels: Column) -> DataFrame:
@@ -118,6 +118,32 @@ def same_wrong(preds: DataFrame, key: str, truth: str, names: list[str]) -> Data
     return t.select("a", "b", "n", (F.col("same") / F.col("n")).alias("observed"), expected.alias("expected"), F.try_divide(F.col("same") / F.col("n"), expected).alias("lift"))
 
 
+def same_wrong_report(preds: DataFrame, truth: str, names: list[str]) -> DataFrame:
+    """a, b, n, observed, marginal, pooled, conditional, lift, excess, kappa of classifier pairs on rows that both get wrong.
+
+    Chance agreement three ways: from both classifiers' shares of wrong labels, from the shares of both together, and
+    within each true class; lift, excess and kappa are against the last.  All three come from one table of counts by
+    (pair, true class, two labels).
+    """
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    each = preds.select(F.col(truth).alias("t"), F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("pa"), F.col(b).alias("pb")) for a, b in pairs))).alias("x")).select("t", "x.*")
+    cells = each.where((F.col("pa") != F.col("t")) & (F.col("pb") != F.col("t"))).groupBy("a", "b", "t", "pa", "pb").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    sides = cells.select("a", "b", "t", "k", F.explode(F.array(F.struct(F.col("pa").alias("l"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.col("pb").alias("l"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))).alias("s"))
+    within = sides.groupBy("a", "b", "t", F.col("s.l").alias("l")).agg(F.sum(F.col("k") * F.col("s.x")).alias("na"), F.sum(F.col("k") * F.col("s.y")).alias("nb"))
+    over = within.groupBy("a", "b", "l").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("m"), F.sum((F.col("na") + F.col("nb")) * (F.col("na") + F.col("nb")) / 4).alias("q"))
+    inner = within.groupBy("a", "b", "t").agg(F.try_divide(F.sum(F.col("na") * F.col("nb")), F.sum("na")).alias("c")).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    n, o, c = F.col("n"), F.col("observed"), F.col("conditional")
+    g = cells.groupBy("a", "b").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("pa") == F.col("pb"), F.col("k")).otherwise(0.0)).alias("same")).join(over, ["a", "b"]).join(inner, ["a", "b"])
+    g = g.select("a", "b", "n", (F.col("same") / n).alias("observed"), (F.col("m") / (n * n)).alias("marginal"), (F.col("q") / (n * n)).alias("pooled"), (F.col("c") / n).alias("conditional"))
+    return g.select("a", "b", n.cast("long").alias("n"), "observed", "marginal", "pooled", "conditional", F.try_divide(o, c).alias("lift"), (o - c).alias("excess"), F.try_divide(o - c, 1 - c).alias("kappa"))
+
+
+def weighted_means(report: DataFrame, weight: str, cols: list[str]) -> DataFrame:
+    """One row: the columns' means weighted by ``weight``; nulls don't count."""
+    mean = lambda c: F.try_divide(F.sum(F.when(F.col(c).isNotNull(), F.col(c) * F.col(weight))), F.sum(F.when(F.col(c).isNotNull(), F.col(weight))).cast("double")).alias(c)
+    return report.agg(F.sum(weight).alias(weight), *map(mean, cols))
+
+
 def pair_hits(docs: DataFrame, tokens: Column, main: str, others: Column, bridges: DataFrame) -> DataFrame:
     """a, b, attempts, hits, rate: of the documents with labels a (main) and b, those that hold a bridge word of the pair.
 

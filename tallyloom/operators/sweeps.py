@@ -122,7 +122,8 @@ def word_trials(docs: DataFrame, tokens: Column, label: str, bridges: DataFrame)
     totals = docs.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_k"))
     n = totals.agg(F.sum("_k").alias("_n"))
     b = bridges.select("word", "primary", "secondary")
-    prior = b.join(F.broadcast(totals), (F.col("_l") == F.col("primary")) | (F.col("_l") == F.col("secondary"))).groupBy("word", "primary", "secondary").agg(F.sum("_k").alias("_pk")).join(F.broadcast(n))  # a row a class
+    sides = b.select("*", F.explode(F.array_distinct(F.array("primary", "secondary"))).alias("_l"))
+    prior = sides.join(totals, "_l").groupBy("word", "primary", "secondary").agg(F.sum("_k").alias("_pk")).join(F.broadcast(n))  # one row
     words = docs.select(label, F.explode(F.array_distinct(tokens)).alias("word")).join(prior, "word")
     hit = (F.col(label) == F.col("primary")) | (F.col(label) == F.col("secondary"))
     g = words.groupBy("word", "_pk", "_n").agg(F.count(F.lit(1)).alias("trials"), _n(hit).alias("hits"))

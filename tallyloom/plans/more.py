@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.constants import BRIDGE_CONFIGS
+from tallyloom.constants import BRIDGE_CONFIGS, DELTA_GRID
 from tallyloom.functions.arrays import distribution, entropy
-from tallyloom.operators import assoc, bridge, counts, geometry, spaces
+from tallyloom.operators import assoc, bridge, counts, evaluate, geometry, labelsets, spaces
 from tallyloom.plans import base as b
 from tallyloom.plans import cases as pc
+from tallyloom.plans import sets as ps
 from tallyloom.sources import records
 
 QUERIES, SQL = {}, {}
@@ -149,3 +150,90 @@ def preprocessing_sensitivity(spark, d):
     x, y = best(b.counts_k4(spark, d)), best(other)
     one = other.agg(F.count(F.lit(1)).alias("n_words")).join(F.broadcast(x.join(y, "word").agg(F.count(F.lit(1)).alias("both")))).join(F.broadcast(x.union(y).distinct().agg(F.count(F.lit(1)).alias("u"))))
     return one.select(F.lit("long words").alias("variant"), "n_words", "both", F.round(F.col("both") / F.col("u"), 6).alias("jaccard"))
+
+
+_PAIRED = ["p5", "p7", "p11"]
+_WRONG_PAIRS = " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, lang AS t, {x} AS pa, {y} AS pb FROM pr WHERE {x} <> lang AND {y} <> lang" for x, y in (("p5", "p7"), ("p5", "p11"), ("p7", "p11")))
+_AGREE = f"""{ps._PRED}, w AS ({_WRONG_PAIRS}), s AS (SELECT a, b, t, pa AS l, 1 AS x, 0 AS y FROM w UNION ALL SELECT a, b, t, pb, 0, 1 FROM w),
+i AS (SELECT a, b, t, l, {_D("sum(x)")} AS na, {_D("sum(y)")} AS nb FROM s GROUP BY ALL), o AS (SELECT a, b, l, sum(na) AS na, sum(nb) AS nb FROM i GROUP BY ALL),
+m AS (SELECT a, b, sum(na * nb) AS m, sum((na + nb) * (na + nb)) / 4 AS q FROM o GROUP BY ALL), u AS (SELECT a, b, t, sum(na * nb) / sum(na) AS c FROM i GROUP BY ALL), c AS (SELECT a, b, sum(c) AS c FROM u GROUP BY ALL),
+n AS (SELECT a, b, count(*) AS n, {_D("count(*) FILTER (WHERE pa = pb)")} / count(*) AS o FROM w GROUP BY ALL),
+z AS (SELECT a, b, n, o AS observed, m / ({_D("n")} * n) AS marginal, q / ({_D("n")} * n) AS pooled, c / n AS conditional, o / (c / n) AS lift, o - c / n AS excess, (o - c / n) / (1 - c / n) AS kappa FROM n JOIN m USING (a, b) JOIN c USING (a, b))"""
+_RATES = ["observed", "marginal", "pooled", "conditional", "lift", "excess", "kappa"]
+
+
+@query(f"WITH {_AGREE} SELECT a, b, n, {', '.join(f'round({c}, 6) AS {c}' for c in _RATES)} FROM z")
+def same_wrong_report(spark, d):
+    """Agreement of wrong predictions against chance, three ways."""
+    return b.rounded(labelsets.same_wrong_report(ps._predictions(spark, d), "lang", _PAIRED), *_RATES)
+
+
+@query(f"WITH {_AGREE} SELECT CAST(sum(n) AS BIGINT) AS n, {', '.join(f'round(sum({c} * n) / {_D("sum(n)")}, 6) AS {c}' for c in _RATES)} FROM z")
+def same_wrong_means(spark, d):
+    """The means of the pairs' figures, weighted by their rows."""
+    return b.rounded(labelsets.weighted_means(labelsets.same_wrong_report(ps._predictions(spark, d), "lang", _PAIRED), "n", _RATES), *_RATES)
+
+
+@query(f"""WITH {b.LABELLED_SQL} """ + " UNION ALL ".join(
+    f"SELECT '{x}' AS a, '{y}' AS b, count(*) FILTER (WHERE {ps._IN('y', x)} AND {ps._IN('y', y)}) AS n, count(*) FILTER (WHERE {ps._IN('y', x)} AND {ps._IN('y', y)} AND {ps._IN('p', x)} AND {ps._IN('p', y)}) AS n_found, round({_D(f"count(*) FILTER (WHERE {ps._IN('y', x)} AND {ps._IN('y', y)} AND {ps._IN('p', x)} AND {ps._IN('p', y)})")} / nullif(count(*) FILTER (WHERE {ps._IN('y', x)} AND {ps._IN('y', y)}), 0), 6) AS rate FROM m"
+    for i, x in enumerate(b.LABELS) for y in b.LABELS[i + 1 :]))
+def pair_boundaries(spark, d):
+    """How often both labels of a pair are found again."""
+    return b.rounded(evaluate.pair_boundaries(b.labelled(spark, d), F.col("y"), F.col("p"), b.LABELS), "rate")
+
+
+_F1 = " UNION ALL ".join(f"SELECT count(*) FILTER (WHERE lang = '{c}' AND p5 = '{c}') AS tp, count(*) FILTER (WHERE lang <> '{c}' AND p5 = '{c}') AS fp, count(*) FILTER (WHERE lang = '{c}' AND p5 <> '{c}') AS fn FROM pr" for c in b.LANGS)
+
+
+@query(f"""WITH {ps._PRED}, k AS ({_F1}), f AS (SELECT *, coalesce({_D("2 * tp")} / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM k),
+g AS (SELECT {_D("2 * sum(tp)")} / {_D("2 * sum(tp) + sum(fp) + sum(fn)")} AS mi, avg(f1) AS ma, sum(f1 * (tp + fn)) / {_D("sum(tp + fn)")} AS we FROM f),
+a AS (SELECT count(*) AS n, {_D("count(*) FILTER (WHERE lang = p5)")} / count(*) AS o FROM pr), e AS (SELECT sum({_D("x.k")} * y.k) AS s FROM (SELECT lang AS l, count(*) AS k FROM pr GROUP BY 1) x JOIN (SELECT p5 AS l, count(*) AS k FROM pr GROUP BY 1) y USING (l))
+SELECT n, round(o, 6) AS accuracy, round((o - s / ({_D("n")} * n)) / (1 - s / ({_D("n")} * n)), 6) AS kappa, round(mi, 6) AS micro_f1, round(ma, 6) AS macro_f1, round(we, 6) AS weighted_f1 FROM g, a, e""")
+def class_report(spark, d):
+    """Accuracy, kappa and F1 of single labels."""
+    return b.rounded(evaluate.class_report(ps._predictions(spark, d), "lang", "p5", b.LANGS), "accuracy", "kappa", "micro_f1", "macro_f1", "weighted_f1")
+
+
+_FLAG = ", ".join(f"CAST({b.bridge_rule(c)} AS INT) AS {n}" for n, c in BRIDGE_CONFIGS.items())
+#: Chi-square values of p = 0.05 and 0.01 at three degrees of freedom (fixed values).
+_X05, _X01 = 7.814727903251179, 11.344866730144373
+
+
+@query(f"""WITH {_K4}, {b.chi2_sql(4)}, {b.top2_sql(b.K4)}, f AS (SELECT chi2, {_FLAG} FROM b JOIN x USING (word)),
+e AS ({" UNION ALL ".join(f"SELECT '{n}' AS config, CASE WHEN {n} = 1 THEN chi2 END AS u, CASE WHEN {n} = 0 THEN chi2 END AS o FROM f" for n in BRIDGE_CONFIGS)}),
+g AS (SELECT config, median(u) AS mu, median(o) AS mo, count(*) FILTER (WHERE u > {_X05}) AS s5, count(*) FILTER (WHERE u > {_X01}) AS s1, count(u) AS n1, count(o) AS n2, avg(u) AS m1, avg(o) AS m2, var_samp(u) / count(u) AS v1, var_samp(o) / count(o) AS v2 FROM e GROUP BY 1)
+SELECT config, round(mu, 6) AS median_bridge, round(mo, 6) AS median_other, s5 AS n_sig_05, s1 AS n_sig_01, round({_D("s5")} / nullif(n1, 0), 6) AS share_sig_05, round({_D("s1")} / nullif(n1, 0), 6) AS share_sig_01,
+CASE WHEN n1 >= 2 AND n2 >= 2 THEN round((m1 - m2) / sqrt(v1 + v2), 6) END AS t_stat, CASE WHEN n1 >= 2 AND n2 >= 2 THEN round((v1 + v2) * (v1 + v2) / (v1 * v1 / (n1 - 1) + v2 * v2 / (n2 - 1)), 4) END AS df FROM g""")
+def bridge_config_tests(spark, d):
+    """Chi-square of bridges against other words, by configuration; the operator gives the test's p-value as well."""
+    stats = assoc.word_chi2(b.counts_k4(spark, d), 4, p_value=True)
+    t = bridge.config_tests(stats, b.K4).drop("p_value")
+    return b.rounded(t, "median_bridge", "median_other", "share_sig_05", "share_sig_01", "t_stat").withColumn("df", F.round("df", 4))
+
+
+@query(f"""WITH {_K4}, {b.top2_sql(b.K4)}, f AS (SELECT least("primary", secondary) AS a, greatest("primary", secondary) AS z, {_FLAG} FROM b)
+""" + " UNION ALL ".join(f"SELECT '{n}' AS config, a, z AS b, count(*) AS n FROM f WHERE {n} = 1 GROUP BY a, z" for n in BRIDGE_CONFIGS))
+def bridge_config_pairs(spark, d):
+    return bridge.config_pairs(b.counts_k4(spark, d), b.K4)
+
+
+_NEAR = f"""{_K4}, {b.odds_sql(b.K4)}, rk AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY log_odds DESC, rank) AS rn, sum(cnt) OVER (PARTITION BY word) AS tot FROM o),
+e AS (SELECT f.word, f.tot, least(f.grp, s.grp) AS a, greatest(f.grp, s.grp) AS z, f.log_odds - s.log_odds AS d FROM rk f JOIN rk s USING (word)
+      WHERE f.rn = 1 AND s.rn = 2 AND f.log_odds > 0 AND s.log_odds > 0 AND f.log_odds >= 0.3 AND s.log_odds >= 0.3 AND f.cnt >= 5 AND s.cnt >= 5 AND f.tot >= 20 AND f.z >= 1 AND s.z >= 1),
+k AS (SELECT CAST(unnest([{", ".join(map(str, DELTA_GRID))}]) AS DOUBLE) AS delta)"""
+_RULE = {"min_logodds": 0.3, "min_total": 20, "z_min": 1.0}
+
+
+@query(f"""WITH {_NEAR}, ed AS (SELECT delta, word, row_number() OVER (PARTITION BY delta ORDER BY tot DESC, word) AS rn FROM e, k WHERE d < delta),
+tp AS (SELECT delta, list(word) AS ws FROM ed WHERE rn <= 50 GROUP BY 1), rf AS (SELECT list(word) AS r FROM (SELECT word, row_number() OVER (ORDER BY tot DESC, word) AS rn FROM e WHERE d < 1.0) WHERE rn <= 50)
+SELECT delta, (SELECT count(*) FROM e WHERE d < delta) AS n_bridge, round({_D("(SELECT count(*) FROM e WHERE d < delta)")} / (SELECT count(*) FROM c), 6) AS ratio,
+round({_D("(SELECT count(*) FROM e WHERE d < delta AND d < 1.0)")} / nullif((SELECT count(*) FROM e WHERE d < delta OR d < 1.0), 0), 6) AS jaccard,
+round({_D("len(list_intersect(ws, r))")} / nullif(len(list_distinct(list_concat(ws, r))), 0), 6) AS jaccard_top FROM k LEFT JOIN tp USING (delta), rf""")
+def delta_summary(spark, d):
+    """Bridges by distance of log-odds: how many, and how alike with those of distance 1, all and the 50 most frequent."""
+    return b.rounded(bridge.delta_summary(b.odds_k4(spark, d), **_RULE), "ratio", "jaccard", "jaccard_top")
+
+
+@query(f"WITH {_NEAR} SELECT delta, a, z AS b, count(*) AS n FROM e, k WHERE d < delta GROUP BY ALL")
+def delta_pairs(spark, d):
+    return bridge.delta_pairs(b.odds_k4(spark, d), **_RULE)

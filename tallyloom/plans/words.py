@@ -187,7 +187,7 @@ e AS (SELECT f.word, f.grp AS "primary", s.grp AS secondary, f.log_odds AS l1, s
 
 @query(f'{_DELTA} SELECT word, "primary", secondary, round(l1, 6) AS l1, round(l2, 6) AS l2 FROM e WHERE l1 - l2 < 1.0')
 def bridge_delta(spark, d):
-    return b.rounded(bridge.delta_bridge(b.odds_k4(spark, d), 1.0, 0.3), "l1", "l2")
+    return b.rounded(bridge.delta_bridge(b.odds_k4(spark, d), 1.0, 0.3).drop("total"), "l1", "l2")
 
 
 @query(f"""{_DELTA} SELECT CAST(delta AS DOUBLE) AS delta, count(*) FILTER (WHERE l1 - l2 < delta) AS n_bridge,
