@@ -98,8 +98,8 @@ def delta_summary(odds: DataFrame, deltas: list[float] = DELTA_GRID, ref: float
     """delta, n_bridge, ratio of all words, jaccard and jaccard_top with the reference delta.
 
     ``jaccard_top`` compares the ``top`` most frequent bridge words of either delta (ties by word); ``rule`` goes to
-    :func:`delta_bridge`.  A word is among the first of a delta if fewer than ``top`` words closer than it go before
-    it, so only the most frequent words of each delta are kept, by one aggregation a delta.
+    :func:`delta_bridge`.  Each of 64 parts of a delta's words gives its ``top`` most frequent, of which the first stay.
+    Both similarities are null where neither delta has a bridge word.
     """
     cuts = sorted({*map(float, deltas), float(ref)})
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
@@ -108,12 +108,15 @@ def delta_summary(odds: DataFrame, deltas: list[float] = DELTA_GRID, ref: float
     parts = each.groupBy("delta", F.pmod(F.xxhash64("word"), F.lit(64)).alias("_part")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("k"), "word"))), 1, top).alias("first"))
     firsts = parts.groupBy("delta").agg(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, top)["word"].alias("words"))  # 64 short lists a delta
     base = firsts.where(F.col("delta") == float(ref)).select(F.col("words").alias("base"))
-    alike = firsts.join(F.broadcast(base), how="left").select("delta", F.try_divide(F.size(F.array_intersect("words", "base")).cast("double"), F.size(F.array_union("words", "base")).cast("double")).alias("jaccard_top"))
     words = odds.agg(F.countDistinct("word").alias("n_words"))
     one = wide.agg(*(x for i, c in enumerate(cuts) for x in (n(F.col("d") < c).alias(f"n{i}"), n((F.col("d") < c) & (F.col("d") < ref)).alias(f"b{i}"), n((F.col("d") < c) | (F.col("d") < ref)).alias(f"e{i}")))).join(F.broadcast(words))
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     cells = F.array(*(F.struct(F.lit(c).alias("delta"), F.coalesce(f"n{i}", F.lit(0)).alias("n_bridge"), F.coalesce(share(f"n{i}", "n_words"), F.lit(0.0)).alias("ratio"), share(f"b{i}", f"e{i}").alias("jaccard")) for i, c in enumerate(cuts) if c in set(map(float, deltas))))
-    return one.select(F.explode(cells).alias("x")).select("x.*").join(alike, "delta", "left")
+    none = F.array().cast("array<string>")
+    grid = one.select(F.explode(cells).alias("x")).select("x.*").join(firsts, "delta", "left").join(F.broadcast(base.agg(F.first("base").alias("base"))))  # one row
+    mine, its = F.coalesce("words", none), F.coalesce("base", none)
+    alike = F.try_divide(F.size(F.array_intersect(mine, its)).cast("double"), F.size(F.array_union(mine, its)).cast("double"))
+    return grid.select("delta", "n_bridge", "ratio", "jaccard", alike.alias("jaccard_top"))
 
 
 def delta_pairs(odds: DataFrame, deltas: list[float] = DELTA_GRID, **rule) -> DataFrame:

@@ -228,7 +228,7 @@ _RULE = {"min_logodds": 0.3, "min_total": 20, "z_min": 1.0}
 tp AS (SELECT delta, list(word) AS ws FROM ed WHERE rn <= 50 GROUP BY 1), rf AS (SELECT list(word) AS r FROM (SELECT word, row_number() OVER (ORDER BY tot DESC, word) AS rn FROM e WHERE d < 1.0) WHERE rn <= 50)
 SELECT delta, (SELECT count(*) FROM e WHERE d < delta) AS n_bridge, round({_D("(SELECT count(*) FROM e WHERE d < delta)")} / (SELECT count(*) FROM c), 6) AS ratio,
 round({_D("(SELECT count(*) FROM e WHERE d < delta AND d < 1.0)")} / nullif((SELECT count(*) FROM e WHERE d < delta OR d < 1.0), 0), 6) AS jaccard,
-round({_D("len(list_intersect(ws, r))")} / nullif(len(list_distinct(list_concat(ws, r))), 0), 6) AS jaccard_top FROM k LEFT JOIN tp USING (delta), rf""")
+round({_D("len(list_intersect(coalesce(ws, []), coalesce(r, [])))")} / nullif(len(list_distinct(list_concat(coalesce(ws, []), coalesce(r, [])))), 0), 6) AS jaccard_top FROM k LEFT JOIN tp USING (delta), rf""")
 def delta_summary(spark, d):
     """Bridges by distance of log-odds: how many, and how alike with those of distance 1, all and the 50 most frequent."""
     return b.rounded(bridge.delta_summary(b.odds_k4(spark, d), **_RULE), "ratio", "jaccard", "jaccard_top")

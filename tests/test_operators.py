@@ -297,3 +297,79 @@ def test_registered_jobs_are_whole(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         models.tfidf_cv_lr(spark, d)
     assert asked["cv"]["k"] == 5
+
+
+def _odds(spark, seed=4, words=150):
+    """Log-odds of words over four classes with distances of all sizes, some not finite, and plain rows of them."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for w in range(words):
+        lead, gap = rng.uniform(0.5, 3), rng.choice([0.2, 0.5, 0.7, 0.9, 1.1, 1.4, 1.9])
+        values = [lead, lead - gap, lead - gap - rng.uniform(0.1, 1), -1.0]
+        for k in range(4):
+            z = rng.choice([float("inf"), 0.5, 2.5, 3.0])
+            rows.append((f"w{w}", f"k{(k + w) % 4}", (k + w) % 4, rng.randint(3, 30), values[k] if rng.random() > 0.02 else float("-inf"), z))
+    return rows, spark.createDataFrame(rows, "word string, grp string, rank int, cnt long, log_odds double, z double")
+
+
+def _delta_plain(rows, delta, min_logodds=1.0, min_count=5, min_total=None, z_min=None, positive=True, strict_z=True):
+    import math
+    from collections import defaultdict
+
+    by, out = defaultdict(list), {}
+    for word, grp, rank, cnt, lo, z in rows:
+        if math.isfinite(lo):
+            by[word].append((-lo, rank, grp, cnt, z))
+    for word, cells in by.items():
+        total, two = sum(c[3] for c in cells), sorted(cells)[:2]
+        if len(two) < 2 or (min_total is not None and total < min_total) or -two[0][0] + two[1][0] >= delta:
+            continue
+        fine = lambda c: -c[0] >= min_logodds and c[3] >= min_count and (-c[0] > 0 or not positive) and (z_min is None or (c[4] >= z_min if math.isfinite(c[4]) else not strict_z))
+        if all(map(fine, two)):
+            out[word] = (tuple(sorted((two[0][2], two[1][2]))), total)
+    return out
+
+
+def test_delta_bridges_match_plain_code(spark):
+    from tallyloom.operators import bridge
+
+    rows, odds = _odds(spark)
+    for rule in ({}, {"z_min": 1.0}, {"z_min": 1.0, "strict_z": False, "min_total": 50}, {"min_logodds": -9.0, "positive": False, "min_count": 0}):
+        got = {r.word: (tuple(sorted((r.primary, r.secondary))), r.total) for r in bridge.delta_bridge(odds, 1.2, **rule).collect()}
+        assert got == _delta_plain(rows, 1.2, **rule) and got
+    deltas, base = [0.1, 0.6, 1.0, 1.5], _delta_plain(rows, 1.0)
+    first = lambda d: {w for w, _ in sorted(d.items(), key=lambda x: (-x[1][1], x[0]))[:10]}
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else None
+    pairs = {}
+    summary = {r.delta: r for r in bridge.delta_summary(odds, deltas, 1.0, 10).collect()}
+    for x in deltas:
+        here = _delta_plain(rows, x)
+        r = summary[x]
+        assert r.n_bridge == len(here) and abs(r.ratio - len(here) / 150) < 1e-12 and r.jaccard == jac(set(here), set(base))
+        assert r.jaccard_top == (jac(first(here), first(base)))
+        for p, _ in here.values():
+            pairs[x, *p] = pairs.get((x, *p), 0) + 1
+    assert {(r.delta, r.a, r.b): r.n for r in bridge.delta_pairs(odds, deltas).collect()} == pairs
+    assert len({summary[x].n_bridge for x in deltas}) == 4
+    nothing = bridge.delta_summary(odds.where("false"), deltas, 1.0).collect()
+    assert sorted((r.delta, r.n_bridge, r.ratio, r.jaccard) for r in nothing) == [(x, 0, 0.0, None) for x in deltas]
+
+
+def test_config_tests_give_welch(spark):
+    """Welch's test and the tail shares against a direct computation; null where a side has fewer than two words."""
+    import statistics as st
+
+    from tallyloom.functions.special import t_two_sided_value
+    from tallyloom.operators import bridge
+
+    rows = [(f"w{i}", a, 10 - a, 10, float(x), x / 10) for i, (a, x) in enumerate([(5, 1), (5, 4), (6, 2), (9, 8), (9, 3), (10, 5), (8, 9)])]
+    stats = spark.createDataFrame(rows, "word string, c0 long, c1 long, total long, chi2 double, p_value double")
+    got = {r.config: r for r in bridge.config_tests(stats, ["a", "b"], {"near": (0.4, 0.25, 0.25), "none": (0.99, 0.99, 0.0)}, 0).collect()}
+    on, off = [1, 4, 2], [8, 3, 5, 9]
+    v1, v2 = st.variance(on) / 3, st.variance(off) / 4
+    t, df = (st.mean(on) - st.mean(off)) / (v1 + v2) ** 0.5, (v1 + v2) ** 2 / (v1**2 / 2 + v2**2 / 3)
+    r = got["near"]
+    assert (r.median_bridge, r.median_other, r.n_sig_05, r.n_sig_01) == (2, 6.5, 0, 0)
+    assert abs(r.t_stat - t) < 1e-9 and abs(r.df - df) < 1e-9 and abs(r.p_value - t_two_sided_value(t, df)) < 1e-9
+    assert got["none"].t_stat is None and got["none"].median_bridge is None and got["none"].share_sig_05 is None
