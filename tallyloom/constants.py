@@ -34,6 +34,7 @@ STOPWORDS = [
 
 #: (smallest p1, smallest p2, largest gap) of the bridge configurations (fixed values).
 BRIDGE_CONFIGS = {"B0": (0.40, 0.25, 0.20), "loose": (0.30, 0.20, 0.25), "strict": (0.45, 0.30, 0.20)}
+#: Thresholds and sizes of the analyses (fixed values).
 BRIDGE_MIN_COUNT = 5
 BRIDGE_MIN_LOGODDS = 1.0
 DELTA_GRID = [0.5, 0.8, 1.0, 1.2, 1.5]
