@@ -118,3 +118,53 @@ def repeated_bytes(rows, length=400):
         runs = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[i] = (len(b), sum(gone), runs, bytes(x for x, g in zip(b, gone) if not g))
     return out
+
+
+def repair(rows):
+    """Turns (turn, role, text) of one conversation, in order, by trying all edits turn by turn: (blank, duplicate, truncated, illegal, cost, audit, repaired)."""
+    kinds, seen = [], set()
+    for _, role, text in rows:
+        if not WORD.search(text):
+            kinds.append("blank")
+        elif (role, text) in seen:
+            kinds.append("duplicate")
+        else:
+            kinds.append("truncated" if text.rstrip(" \t\n\x0b\f\r")[-1] not in ".!?" else "")
+        seen.add((role, text))
+    initials = [role[:1] for _, role, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    grammar = re.compile(r"(s?(ua)+)?")
+    start = re.compile(r"(s?(ua)*u?)?")
+    paths = [(0, "", "", ())]
+    for kind, (_, role, text), initial in zip(kinds, rows, initials):
+        grown = []
+        for cost, audit, read, out in inserted(paths, start):
+            grown.append((cost + 3, audit + "D", read, out))
+            if kind in ("", "truncated"):
+                more = kind == "truncated"
+                grown.append((cost + more, audit + "K", read + initial if initial else read + "?", (*out, f"{role}:{text}")))
+                for r in ("user", "assistant"):
+                    grown.append((cost + 2 + more, audit + "R", read + r[0], (*out, f"{r}:{text}")))
+        paths = pruned(p for p in grown if start.fullmatch(p[2]))
+    ends = [p for p in inserted(paths, start) if grammar.fullmatch(p[2])]
+    cost, audit, _, out = min(ends, key=lambda p: p[:2])
+    return kinds.count("blank"), kinds.count("duplicate"), kinds.count("truncated"), illegal, cost, audit, "\n".join(out)
+
+
+def inserted(paths, start):
+    """The paths with up to three more inserted turns."""
+    every = list(paths)
+    for _ in range(3):
+        paths = [(c + 2, a + "I", read + r[0], (*out, f"{r}:")) for c, a, read, out in paths for r in ("user", "assistant") if start.fullmatch(read + r[0])]
+        every += paths
+    return every
+
+
+def pruned(paths):
+    """Of paths that read the same string, the least; and none that costs 12 more than the cheapest of all."""
+    best = {}
+    for p in paths:
+        if p[2] not in best or p[:2] < best[p[2]][:2]:
+            best[p[2]] = p
+    least = min(p[0] for p in best.values())
+    return [p for p in best.values() if p[0] <= least + 12]

@@ -17,12 +17,13 @@ DATA = "/root/testdata/sf0.001"
 
 def plain_pipeline(rows, items, languages, codec):
     """{doc_id: (text, ids)} of what must be left; ``languages``: the first stage's verdicts."""
+    from tallyloom.llm import line_dedup
     from tallyloom.llm.decontaminate import normalise
 
     rows = [r for r in rows if languages[r["doc_id"]]]
     pages = collections.Counter(r["source"] for r in rows)
     on = collections.Counter((r["source"], x) for r in rows for x in {x.strip(" \t\n\x0b\f\r") for x in r["text"].split("\n")})
-    texts = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if not x.strip(" \t\n\x0b\f\r") or (n := on[r["source"], x.strip(" \t\n\x0b\f\r")]) < 10 or n <= 0.1 * pages[r["source"]]) for r in rows}
+    texts = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if not x.strip(" \t\n\x0b\f\r") or (n := on[r["source"], x.strip(" \t\n\x0b\f\r")]) < line_dedup.MIN_PAGES or n <= line_dedup.RATIO * pages[r["source"]]) for r in rows}
     groups = brute.near_groups(list(texts.items()), 5)
     texts = {i: t for i, t in texts.items() if groups[i][1] == i}
     items = [normalise(x) for x in items if x]
@@ -66,12 +67,12 @@ def test_stages_keep_the_columns(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 2
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_site_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_site_line_dedup", "op11_conversation_repair", "op12_centroid_clusters"])
 def test_sql_twins(spark, name):
     from tallyloom.llm import registry
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.sql(registry.ORACLE_SQL[name]).df()
     got = registry.QUERIES[name](spark, DATA).toPandas()[list(want.columns)]
@@ -82,4 +83,4 @@ def test_sql_twins(spark, name):
 def test_every_operator_is_registered():
     from tallyloom.llm import registry
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
