@@ -160,8 +160,7 @@ def ovr_probs(spark, d):
 def bridge_rerank(spark, d):
     """Out-of-fold probabilities of all labels, ranked again with the rule's scores."""
     m = b.labelled(spark, d)
-    fitted = ["foreign", "toxic"]
-    p = ml.binary_relevance(m.select("doc_id", "toks", "y"), fitted, "y", k=3)
+    p = ml.binary_relevance(m.select("doc_id", "toks", "y"), b.LABELS, "y", k=5)
     s = m.select("doc_id", *(F.when(F.array_contains("p", c), 1.0).otherwise(0.0).alias(f"b_{c}") for c in b.LABELS))
     return ml.rerank(p, s, "doc_id", b.LABELS, 0.2, 0.0).select("doc_id", F.array_join("pred", "|").alias("pred"))
 
