@@ -138,8 +138,9 @@ def pretoken_frequencies(docs: DataFrame, tokenizer, id_col: str = "doc_id", tex
                 before = len(where)
                 for count, words in parts:
                     if words:
-                        for w in count.keys() - at.keys():
-                            at[w] = places.setdefault(split.symbols(w), len(places))
+                        for w in count:
+                            if w not in at:
+                                at[w] = places.setdefault(split.symbols(w), len(places))
                         where += map(at.__getitem__, count)
                     else:
                         where += [places.setdefault(p, len(places)) for p in count]
