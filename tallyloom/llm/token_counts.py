@@ -4,13 +4,13 @@ A tokenizer's model works on each pre-token alone, so a document's token count i
 pre-tokens of how often each occurs times how many pieces it has.  Three steps:
 
 * Each block of documents (``BLOCK_BYTES`` of text, or one longer text) is pre-tokenised; the block becomes one row
-  with its distinct pre-tokens and, packed, each document's frequencies over them.
-* The distinct pre-tokens of all blocks meet once; the model counts the pieces of each, and no ids are kept.
-* The piece counts are joined to the blocks' pre-tokens, gathered by block (never more than a block's text holds)
-  and summed over each document's frequencies.
+  with its distinct pre-tokens, packed by the bucket of their hash, and each document's frequencies over them.
+* All blocks' pre-tokens of a bucket meet in one task, where the model counts the pieces of each distinct one; no ids are kept.
+* The piece counts go back to their blocks (never more than a block's text holds) and are summed over each
+  document's frequencies.
 
-A pre-token moves once for each block, not for each document; a frequent one has a row a block, and adaptive joins
-split it.  The pre-tokenisation is that of the vocabulary file: its special strings are cut out first, each a token
+A pre-token moves once for each block, not for each document, so a frequent one weighs no more than a rare one in a block; the buckets
+grow with the shuffle partitions.  The pre-tokenisation is that of the vocabulary file: its special strings are cut out first, each a token
 of its own.  For files with the plain word pattern below, texts without doubtful characters (``doubtful``) are split
 by one expression instead of the library, with the same result; every other text goes through the library.
 
@@ -24,8 +24,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm.bpe import byte_symbols, vocabulary_path
-from tallyloom.llm.common import blocks, discard, materialize, read_table, text_or_empty
+from tallyloom.llm.common import blocks, discard, materialize, partitions, read_table, text_or_empty
 from tallyloom.llm.packing import pack, small, unpack
 
 #: Text of one block of documents.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 #: Documents with more tokens than this are over the limit.
 TOKEN_LIMIT = 2048
 #: Code points that are looked at; texts with others go through the library.
@@ -123,73 +125,125 @@ def share_tokenizer(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((spec, PreTokenizer(spec).odd))
 
 
-def pretoken_frequencies(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row a block: block, doc_ids, n_bytes, pretokens (distinct) and packed (special strings, sizes, places and frequencies by document)."""
+class Block:
+    """Pre-token frequencies of documents that are read one by one."""
+
+    def __init__(self, split: PreTokenizer):
+        self.split, self.places, self._at, self.text = split, {}, {}, 0  # places: pre-token to number, in the order of their first use
+        self.ids: list[pa.Array] = []
+        self.special, self.sizes, self.n_bytes = array("q"), array("q"), array("q")
+        self.where: list[np.ndarray] = []
+        self.often: list[np.ndarray] = []
+
+    def add(self, text: str) -> None:
+        parts, special = self.split.counts(text)
+        places, at, where, often = self.places, self._at, [], []
+        for count, words in parts:
+            if words:
+                for w in count:
+                    if w not in at:
+                        at[w] = places.setdefault(self.split.symbols(w), len(places))
+                where += map(at.__getitem__, count)
+            else:
+                where += [places.setdefault(p, len(places)) for p in count]
+            often += count.values()
+        places_of, times = np.array(where, np.int64), np.array(often, np.int64)
+        order = np.argsort(places_of)
+        self.where.append(np.diff(places_of[order], prepend=0))
+        self.often.append(times[order])
+        self.special.append(special)
+        self.sizes.append(len(where))
+        self.n_bytes.append(len(text) if text.isascii() else len(text.encode("utf-8")))
+        self.text += len(text)
+
+    def rows(self, number: int, buckets: int) -> pa.RecordBatch:
+        """The block as one row; its pre-tokens packed by the bucket of their hash."""
+        words = list(self.places)
+        bucket = np.array([crc32(w.encode("utf-8")) % buckets for w in words], np.int64)
+        order, names = np.argsort(bucket, kind="stable"), []
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for group in np.split(order, starts[1:]) if len(order) else []:
+            own = [words[i] for i in group]
+            names.append({"bucket": int(bucket[group[0]]), "words": pack(small(np.array(list(map(len, own)), np.int64)), np.frombuffer("".join(own).encode("utf-8"), np.uint8))})
+        numbers = (self.special, self.sizes, np.concatenate(self.where), np.concatenate(self.often), bucket)
+        ids = pa.chunked_array(self.ids).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([self.n_bytes], pa.list_(pa.int64())), pa.array([names], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))), pa.array([pack(*(small(np.asarray(x, np.int64)) for x in numbers))], pa.binary())],
+            ["block", "doc_ids", "n_bytes", "pretokens", "packed"],
+        )
+
+
+def pretoken_frequencies(docs: DataFrame, tokenizer, buckets: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row a block: block, doc_ids, n_bytes, pretokens (distinct, packed by bucket) and packed frequencies by document."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, part, seen = _loaded(tokenizer, "split"), TaskContext.get().partitionId(), 0
+        split, number = _loaded(tokenizer, "split"), TaskContext.get().partitionId() << 32
+        block = Block(split)
         for b in blocks(batches, block_bytes):
-            places: dict[str, int] = {}
-            at: dict[str, int] = {}  # of words that are still to be spelt in symbols
-            where, often, sizes, special, n_bytes = [], [], [], [], []
+            block.ids.append(b.column(0))
             for t in b.column(1).to_pylist():
-                parts, n = split.counts(t)
-                before = len(where)
-                for count, words in parts:
-                    if words:
-                        for w in count:
-                            if w not in at:
-                                at[w] = places.setdefault(split.symbols(w), len(places))
-                        where += map(at.__getitem__, count)
-                    else:
-                        where += [places.setdefault(p, len(places)) for p in count]
-                    often += count.values()
-                special.append(n)
-                sizes.append(len(where) - before)
-                n_bytes.append(len(t) if t.isascii() else len(t.encode("utf-8")))
-            packed = pack(*(small(np.array(x, np.int64)) for x in (special, sizes, where, often)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seen], pa.int64()), pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0)), pa.array([n_bytes], pa.list_(pa.int64())), pa.array([list(places)], pa.list_(pa.string())), pa.array([packed], pa.binary())],
-                ["block", "doc_ids", "n_bytes", "pretokens", "packed"],
-            )
-            seen += 1
+                block.add(t)
+            if block.text >= block_bytes:
+                yield block.rows(number, buckets)
+                block, number = Block(split), number + 1
+        if block.ids:
+            yield block.rows(number, buckets)
 
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return picked.mapInArrow(run, f"block long, doc_ids array<{kind.simpleString()}>, n_bytes array<long>, pretokens array<string>, packed binary")
+    return picked.mapInArrow(run, f"block long, doc_ids array<{kind.simpleString()}>, n_bytes array<long>, pretokens array<struct<bucket: int, words: binary>>, packed binary")
 
 
-def piece_counts(pretokens: DataFrame, tokenizer) -> DataFrame:
-    """pretoken, pieces: how many tokens the model makes of each row's pre-token."""
+def piece_counts(words: DataFrame, tokenizer, buckets: int) -> DataFrame:
+    """block, bucket and the packed piece counts of its pre-tokens, from rows of block, bucket and packed pre-tokens.
+
+    All rows of a bucket meet, so the model sees each distinct pre-token once; a bucket's are forgotten at its end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(tokenizer, "model")
+        tokenize, last, known = _loaded(tokenizer, "model").tokenize, None, {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(model.tokenize(p)) for p in b.column(0).to_pylist()], pa.int64())], ["pretoken", "pieces"])
-
-    return pretokens.select("pretoken").mapInArrow(run, "pretoken string, pieces long")
+            out = []
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("words"), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                sizes, letters = unpack(blob.as_py())
+                text, ends, pieces = letters.tobytes().decode("utf-8"), np.cumsum(sizes.astype(np.int64)).tolist(), []
+                for i, j in zip([0, *ends], ends, strict=False):
+                    n = known.get(w := text[i:j])
+                    if n is None:
+                        n = known[w] = len(tokenize(w))
+                    pieces.append(n)
+                out.append(pack(small(np.array(pieces, np.int64))))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "pieces"])
+
+    dealt = words.select("block", "bucket", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block long, bucket int, pieces binary")
 
 
 def token_counts(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    freq = materialize(pretoken_frequencies(docs, tokenizer, id_col, text_col, block_bytes), codec="zstd")
-    words = freq.select("block", F.posexplode("pretokens").alias("place", "pretoken"))
-    pieces = materialize(piece_counts(words.select("pretoken").distinct(), tokenizer))
-    of_block = words.join(pieces, "pretoken").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "pieces"))).getField("pieces").alias("pieces"))
-    joined = freq.select("block", "doc_ids", "n_bytes", "packed").join(of_block, "block", "left").select("doc_ids", "n_bytes", "packed", F.coalesce("pieces", F.array().cast("array<long>")).alias("pieces"))
+    kind, buckets = docs.schema[id_col].dataType.simpleString(), 2 * partitions(docs.sparkSession)
+    freq = materialize(pretoken_frequencies(docs, tokenizer, buckets, id_col, text_col, block_bytes), codec="uncompressed")
+    words = freq.select("block", F.explode("pretokens").alias("p")).select("block", "p.bucket", "p.words")
+    of_block = piece_counts(words, tokenizer, buckets).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "pieces"))).getField("pieces").alias("pieces"))
+    joined = freq.select("block", "doc_ids", "n_bytes", "packed").join(of_block, "block", "left").select("doc_ids", "n_bytes", "packed", F.coalesce("pieces", F.array().cast("array<binary>")).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, n_bytes, packed, pieces = (batch.column(c).slice(i, 1) for c in range(4))
-                special, sizes, where, often = (a.astype(np.int64) for a in unpack(packed[0].as_py()))
-                sums = np.concatenate([[0], np.cumsum(pieces.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[where] * often)])
+            for ids, n_bytes, packed, blobs in zip(*batch.columns, strict=True):
+                special, sizes, where, often, bucket = (a.astype(np.int64) for a in unpack(packed.as_py()))
+                pieces = np.zeros(len(bucket), np.int64)
+                pieces[np.argsort(bucket, kind="stable")] = np.concatenate([np.zeros(0, np.int64), *(unpack(x)[0] for x in blobs.as_py())])
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([ids.flatten(), n_bytes.flatten(), pa.array(sums[ends] - sums[ends - sizes] + special)], ["doc_id", "n_bytes", "n_tokens"])
+                starts = ends - sizes
+                run_up = np.cumsum(where)
+                places = run_up - np.repeat(np.concatenate([[0], run_up])[starts], sizes)
+                sums = np.concatenate([[0], np.cumsum(pieces[places] * often)])
+                yield pa.RecordBatch.from_arrays([ids.values, n_bytes.values, pa.array(sums[ends] - sums[starts] + special)], ["doc_id", "n_bytes", "n_tokens"])
 
     out = materialize(joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long"))
-    discard(freq, pieces)
+    discard(freq)
     return out
 
 
