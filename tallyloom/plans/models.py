@@ -59,6 +59,12 @@ def null_summary(spark, d):
     return resample.null_summary(resample.bridge_null(docs, words, found, b.K4, n=1000), found, 1000)
 
 
+@query()
+def word_bootstrap(spark, d):
+    """Bridges among resampled words: 100 samples of the count table's rows."""
+    return resample.word_bootstrap(b.counts_k4(spark, d), b.K4, n=100)
+
+
 @query()
 def stability(spark, d):
     return resample.stability(bridge_bootstrap(spark, d), list(BRIDGE_CONFIGS))

@@ -182,8 +182,6 @@ def test_permutation_is_deterministic_and_valid(spark):
     a, b = run(docs), run(docs.repartition(5))
     assert {w: r.p_perm for w, r in a.items()} == {w: r.p_perm for w, r in b.items()}
     assert a["tied"].p_perm == 1 / 31 and 0 < a["free"].p_perm <= 1 and a["free"].p_perm > 0.1
-    labels = resample.permuted_labels(docs, "doc_id", "grp", 2).groupBy("b", "grp").count().collect()
-    assert len(labels) == 8 and {r["count"] for r in labels} == {50}
 
 
 def test_bootstrap(spark):
@@ -191,8 +189,6 @@ def test_bootstrap(spark):
     words = spark.createDataFrame([(i, "both") for i in range(400) if i % 4 < 2] + [(i, "single") for i in range(0, 400, 4)], "doc_id int, word string")
     got = {r.word: r for r in resample.bridge_bootstrap(docs, words, K4, n=40).collect()}
     assert got["both"].B0 > 0.8 and got["single"].B0 == 0
-    u = spark.range(20000).select(resample.poisson(resample.unit(F.lit(1), "id")).alias("m")).agg(F.avg("m"), F.var_pop("m")).first()
-    assert abs(u[0] - 1) < 0.05 and abs(u[1] - 1) < 0.08
 
 
 def test_geometry(spark, wide):
