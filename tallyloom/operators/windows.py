@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,39 @@ def running_sum(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
     return s.join(F.broadcast(before), "_slice").withColumn(out, here + F.col("_before")).drop("_before")
 
 
+def exact_percentiles(rows: DataFrame, value: str, shares: list[float], slices: int = SLICES) -> list[float]:
+    """Exact percentiles, linear between neighbours, without ordering all rows in one task; nulls don't count.
+
+    Values are cut into slices; only the slices that hold the wanted places are ordered, each by itself.
+    """
+    s = sliced(rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), "v", slices)
+    sizes = [(r["_slice"], r["count"]) for r in s.groupBy("_slice").count().orderBy("_slice").collect()]  # a row a slice
+    n = sum(c for _, c in sizes)
+    if not n:
+        return [None] * len(shares)
+    wanted = {int(p) for q in shares for p in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+    starts, before = {}, 0
+    for k, c in sizes:
+        starts[k] = before
+        before += c
+    picks = [(k, p - starts[k] + 1, p) for k, c in sizes for p in wanted if starts[k] <= p < starts[k] + c]
+    asked = rows.sparkSession.createDataFrame(picks, "_slice int, _place int, place long")
+    held = s.join(F.broadcast(asked.select("_slice").distinct()), "_slice")
+    placed = held.withColumn("_place", F.row_number().over(Window.partitionBy("_slice").orderBy("v")))
+    at = {r.place: r.v for r in placed.join(F.broadcast(asked), ["_slice", "_place"]).collect()}  # two rows a share
+    out = []
+    for q in shares:
+        low = math.floor(q * (n - 1))
+        a, b = at[low], at[math.ceil(q * (n - 1))]
+        out.append(a + (b - a) * (q * (n - 1) - low))
+    return out
+
+
 def quantile_bins(rows: DataFrame, value: str, n: int) -> DataFrame:
     """Adds bin (1-based): right-closed intervals between the exact, distinct quantile edges; the lowest value is in bin 1."""
-    edges = rows.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / n) for i in range(n + 1)))))).alias("_edges"))
-    below = F.size(F.filter("_edges", lambda e: e < F.col(value))).cast("long")
-    return rows.join(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1).cast("long"), below)).drop("_edges")
+    edges = sorted({e for e in exact_percentiles(rows, value, [i / n for i in range(n + 1)]) if e is not None})
+    below = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col(value))).cast("long")
+    return rows.withColumn("bin", F.greatest(F.lit(1).cast("long"), below))
 
 
 def neighbours(rows: DataFrame, tokens: Column, *keep: str) -> DataFrame:

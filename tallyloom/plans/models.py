@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import BRIDGE_CONFIGS
 from tallyloom.functions import text as tx
-from tallyloom.operators import assoc, bridge, counts, geometry, ml, oversight, resample, windows
+from tallyloom.operators import assoc, batch, bridge, counts, geometry, ml, nested, oversight, resample, windows
 from tallyloom.plans import base as b
 
 QUERIES, SQL = {}, {}
@@ -219,6 +219,36 @@ def ambiguous_flags(spark, d):
     return g.select("doc_id", oversight.ambiguous(F.col("n_bridge"), F.lit(0.0), F.lit(1.0)).alias("ambiguous"))
 
 
+@query()
+def instability_flags(spark, d):
+    """Bridge words, fold variance (3 seeds x 5 folds) and out-of-bag variance (50 samples) of every labelled document."""
+    m = b.labelled(spark, d)
+    v = oversight.instability(m, b.LABELS, "y", "lang")
+    bridges = oversight.evidence_bridge(b.docs_k4(spark, d), F.col("toks"), b.counts_k4(spark, d), _bridges(spark, d), 4)
+    out = oversight.instability_flags(v, bridges)
+    return out.select("doc_id", F.round("fold_variance", 6).alias("fold_variance"), F.round("boot_variance", 6).alias("boot_variance"), "n_out", "many_bridges", "fold_unstable", "boot_unstable", "ambiguous")
+
+
+@query()
+def nested_recovery(spark, d):
+    """Label recovery by outer fold, with weight and threshold chosen on inner folds; the main label is the first of a document's labels."""
+    m = b.labelled(spark, d).where(F.size("y") > 0)
+    main = F.coalesce(*(F.when(F.array_contains("y", c), F.lit(c)) for c in b.LABELS))
+    scored, bridges = nested.scored_rows(m.withColumn("main", main), b.LABELS, "y", "main")
+    return nested.recovery_by_fold(scored, nested.tuned(scored, b.LABELS), bridges, b.LABELS)
+
+
+@query()
+def svm_ovr(spark, d):
+    """One-versus-rest squared-hinge machines on languages, out of fold; the probability is the logistic function of the margin."""
+    docs = windows.folds(b.docs_k4(spark, d).select("doc_id", "lang", "toks").where(F.col("lang").isin(b.LANGS)), "doc_id", "lang", 5)
+    use, y = F.array(*(F.when(F.col("fold") != f, 1).otherwise(0) for f in range(5))), F.array(*(F.when(F.col("lang") == c, 1).otherwise(0) for c in b.LANGS))
+    model = batch.design(docs, use, y, 5, len(b.LANGS))
+    p = batch.predict(model, batch.fit(model, "squared_hinge"), "use", "y").select("doc_id", F.array_position("y", 1).cast("int").alias("t"), F.filter(F.arrays_zip(F.col("use").alias("u"), F.col("p").alias("p")), lambda x: x["u"] == 0)[0]["p"].alias("p"))
+    names = F.array(*map(F.lit, b.LANGS))
+    return p.select("doc_id", F.get(names, F.col("t") - 1).alias("truth"), F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int")).alias("pred"), F.round(F.array_max("p"), 4).alias("top_p"))
+
+
 @query()
 def evidence_sentences(spark, d):
     top = assoc.top_per_class(b.odds_k4(spark, d), 20).select("word", "grp")
