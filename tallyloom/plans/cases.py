@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import ABUSE_ORDER, BRIDGE_CONFIGS, NO_ABUSE
 from tallyloom.functions import labels as lb
-from tallyloom.operators import bridge, cases, labelsets
+from tallyloom.operators import assoc, bridge, cases, corpora, labelsets
 from tallyloom.plans import base as b
 from tallyloom.sources import records
+from tallyloom.sources.scratch import written
 
 QUERIES, SQL = {}, {}
 CRISES = ["응급", "정상군", "관찰필요", None, "상담필요", "정상군", None]
@@ -336,3 +337,56 @@ def five_class_corpus(spark, d):
 def main_sources(spark, d):
     t = case_table(spark, d).where("gt_main IS NULL")
     return t.select("doc_id", lb.main_source(F.col("main"), F.col("scores"), F.col("keywords")).alias("source"))
+
+
+#: The corpora of the log-odds tables: their condition, and whether cases without abuse are a fifth class.
+CORPORA = {"ALL": ("true", True), "NEG": ("in_neg", False), "ABUSE_NEG": ("in_neg", False), "TRAIN": ("true", True)}
+FIVE = [*ABUSE_ORDER, NO_ABUSE]
+
+
+def _masked(spark, d):
+    t = with_tokens(spark, d)
+    label = F.when(F.col("in_neg") & F.col("main").isNotNull() & (F.size("gt") > 0), F.col("gt_main")).when(~F.col("in_neg"), F.lit(NO_ABUSE))
+    return written(corpora.counts_by_membership(t.withColumn("label", label), F.col("toks"), "label", FIVE, {n: F.expr(c) for n, (c, _) in CORPORA.items()}))
+
+
+def _table(by_mask, name):
+    classes = FIVE if CORPORA[name][1] else ABUSE_ORDER
+    return corpora.corpus_counts(by_mask, list(CORPORA), name, FIVE, classes), classes
+
+
+_DOCS = f"WITH {RECORDS_SQL}, tk AS ({b.DOCS_SQL.removeprefix('d AS (').removesuffix(')')}), lab AS (SELECT c.doc_id, c.in_neg, CASE WHEN in_neg AND main IS NOT NULL AND len(gt) > 0 THEN gm WHEN NOT in_neg THEN '{NO_ABUSE}' END AS grp, toks FROM c JOIN tk USING (doc_id))"
+
+
+def _corpus_sql(name: str) -> str:
+    condition, five = CORPORA[name]
+    return b.counts_sql(f"d AS (SELECT * FROM lab WHERE {condition})", "doc_id", FIVE if five else ABUSE_ORDER, 5)
+
+
+@query(_DOCS + " " + " UNION ALL ".join(f"SELECT '{n}' AS corpus, word, grp, cnt, round(log_odds, 6) AS log_odds, round(z, 6) AS z FROM (WITH {_corpus_sql(n)}, {b.odds_sql(FIVE if five else ABUSE_ORDER)} SELECT * FROM o)" for n, (_, five) in CORPORA.items()))
+def corpora_log_odds(spark, d):
+    """Four log-odds tables from one count."""
+    by_mask, out = _masked(spark, d), None
+    for name in CORPORA:
+        wide, classes = _table(by_mask, name)
+        x = assoc.log_odds(wide, classes).select(F.lit(name).alias("corpus"), "word", "grp", "cnt", F.round("log_odds", 6).alias("log_odds"), F.round("z", 6).alias("z"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _found_sql(source: str) -> str:
+    """Bridge words among the 200 best words of ``c`` and ``t`` of the source's CTEs."""
+    return f"(WITH {source}, {b.chi2_sql(4)}, best AS (SELECT * FROM x ORDER BY chi2 DESC, word LIMIT 200), {b.top2_sql(ABUSE_ORDER, 'best')} SELECT word FROM b WHERE {b.bridge_rule(BRIDGE_CONFIGS['B0'])})"
+
+
+@query(_DOCS + f""", diagnostic AS {_found_sql(_corpus_sql("ABUSE_NEG"))},
+train AS (WITH {_corpus_sql("TRAIN")} SELECT * FROM c),
+correction AS {_found_sql("c AS (SELECT word, c0, c1, c2, c3, c0 + c1 + c2 + c3 AS total FROM train WHERE c0 + c1 + c2 + c3 > 0), t AS (SELECT CAST(sum(c0) AS DOUBLE) AS n0, CAST(sum(c1) AS DOUBLE) AS n1, CAST(sum(c2) AS DOUBLE) AS n2, CAST(sum(c3) AS DOUBLE) AS n3, CAST(sum(total) AS DOUBLE) AS n, count(*) AS v FROM c)")},
+n AS (SELECT (SELECT count(*) FROM diagnostic) AS n_diagnostic, (SELECT count(*) FROM correction) AS n_correction, (SELECT count(*) FROM diagnostic SEMI JOIN correction USING (word)) AS n_both)
+SELECT n_diagnostic, n_correction, n_both, round(coalesce(n_both / nullif(n_diagnostic + n_correction - n_both, 0), 0), 6) AS ratio FROM n""")
+def corpora_bridges(spark, d):
+    """Diagnostic bridge words (negative cases) against those for correction (training cases), and their overlap."""
+    by_mask = _masked(spark, d)
+    (neg, _), (train, five) = _table(by_mask, "ABUSE_NEG"), _table(by_mask, "TRAIN")
+    o = corpora.bridge_overlap(corpora.diagnostic_bridges(neg, ABUSE_ORDER), corpora.correction_bridges(train, five, ABUSE_ORDER))
+    return o.withColumn("ratio", F.round("ratio", 6))

@@ -87,6 +87,47 @@ def ca_rows(spark, d):
     return geometry.ca_table(spark, assoc.top_chi2(b.chi2_k4(spark, d)), b.K4)
 
 
+_PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+_VARIANTS = {"all": "false", **{name: b.bridge_rule(c) for name, c in BRIDGE_CONFIGS.items()}}
+_FLAGGED = f"WITH {b.counts_sql(b.DOCS_SQL, 'doc_id', b.K4, 5)}, {b.top2_sql(b.K4)}, f AS (SELECT c.*, {', '.join(f'{r} AS f_{n}' for n, r in _VARIANTS.items())} FROM c JOIN (SELECT word, p1, p2, n1, n2 FROM b) USING (word))"
+
+
+def _flagged(spark, d):
+    return assoc.top2(b.counts_k4(spark, d), b.K4).withColumns({f"f_{n}": bridge.is_bridge(c, 5) for n, c in BRIDGE_CONFIGS.items()})
+
+
+@query(_FLAGGED + " " + " UNION ALL ".join(f"SELECT '{n}' AS variant, {i} AS i, {j} AS j, round(sum(c{i} * c{j} / total), 4) AS a, CAST(sum(c{i}) AS DOUBLE) AS n_i, count(*) AS n_words FROM f WHERE NOT f_{n}" for n in _VARIANTS for i, j in _PAIRS))
+def ca_gram_sums(spark, d):
+    """The sums by pairs of classes that correspondence analysis needs, of the whole vocabulary and without each configuration's bridge words."""
+    one = geometry.gram_sums(_flagged(spark, d), b.K4, {n: f"f_{n}" for n in BRIDGE_CONFIGS})
+    each = F.array(*(F.struct(F.lit(n).alias("variant"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.round(f"{n}_a{i}_{j}", 4).alias("a"), F.col(f"{n}_n{i}").alias("n_i"), F.col(f"{n}_v").cast("long").alias("n_words")) for n in _VARIANTS for i, j in _PAIRS))
+    return one.select(F.explode(each).alias("x")).select("x.*")
+
+
+def _ablation_sql(n: str) -> str:
+    own = ", ".join(f"sum(c{i}) AS n{i}" for i in range(4))
+    cell = " + ".join(f"(c{i} - total * n{i} / n) * (c{i} - total * n{i} / n) / (total * n{i} / n)" for i in range(4))
+    return f"SELECT '{n}' AS variant, count(*) AS n_words, round(sum({cell}), 3) AS chi2, 3 * (count(*) - 1) AS df, round(sum({cell}) / max(n), 6) AS total_inertia FROM (SELECT * FROM f WHERE NOT f_{n}) AS g, (SELECT {own}, CAST(sum(total) AS DOUBLE) AS n FROM f WHERE NOT f_{n}) AS s"
+
+
+@query(_FLAGGED + " " + " UNION ALL ".join(map(_ablation_sql, _VARIANTS)))
+def ca_ablation(spark, d):
+    t = geometry.ca_ablation(_flagged(spark, d), b.K4, {n: f"f_{n}" for n in BRIDGE_CONFIGS})
+    return t.select("variant", "n_words", F.round("chi2", 3).alias("chi2"), "df", F.round("total_inertia", 6).alias("total_inertia"))
+
+
+@query()
+def ca_ablation_axes(spark, d):
+    """p-value, first inertias and how far the class points move without each configuration's bridge words."""
+    t = geometry.ca_ablation(_flagged(spark, d), b.K4, {n: f"f_{n}" for n in BRIDGE_CONFIGS})
+    return t.select("variant", "n_words", "p_value", F.round("inertia1", 8).alias("inertia1"), F.round("inertia2", 8).alias("inertia2"), F.round("disparity", 6).alias("disparity"))
+
+
+@query()
+def ca_full(spark, d):
+    return geometry.ca_full(b.counts_k4(spark, d), b.K4)
+
+
 @query()
 def procrustes_doc_vs_token(spark, d):
     docs = b.docs_k4(spark, d)

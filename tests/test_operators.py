@@ -369,3 +369,49 @@ def test_config_tests_give_welch(spark):
     assert (r.median_bridge, r.median_other, r.n_sig_05, r.n_sig_01) == (2, 6.5, 0, 0)
     assert abs(r.t_stat - t) < 1e-9 and abs(r.df - df) < 1e-9 and abs(r.p_value - t_two_sided_value(t, df)) < 1e-9
     assert got["none"].t_stat is None and got["none"].median_bridge is None and got["none"].share_sig_05 is None
+
+
+def test_gram_analysis_is_the_decomposition(spark):
+    """Class points, inertia, chi-square and words from sums by pairs of classes against the whole matrix in NumPy."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(3, (500, 4))
+    x[:7] = 0
+    x[7:20, 1:] = 0
+    rows = [(f"w{i:03}", *map(int, r), int(r.sum()), bool(i % 5 == 0)) for i, r in enumerate(x)]
+    wide = spark.createDataFrame(rows, "word string, c0 int, c1 int, c2 int, c3 int, total int, f boolean")
+    one = geometry.gram_sums(wide, K4, {"cut": "f"}).first()
+    used = x.sum(1) > 0
+    for name, keep in (("all", used), ("cut", used & (np.arange(500) % 5 != 0))):
+        want, got = geometry.correspondence(x[keep].T.astype(float), 3), geometry.gram_correspondence(one, name, 4, 3)
+        assert got["words"] == keep.sum() and got["df"] == 3 * (keep.sum() - 1)
+        assert np.allclose(got["rows"], want["rows"], atol=1e-7) and np.allclose(got["inertia"][:3], want["inertia"][:3]) and abs(got["chi2"] / want["chi2"] - 1) < 1e-9
+    full = {(r.kind, r.name): (r.dim1, r.dim2) for r in geometry.ca_full(wide, K4).collect()}
+    want = geometry.correspondence(x[used].T.astype(float))
+    bary = geometry.barycentric(x.T.astype(float), want["rows"])
+    assert len(full) == 4 + used.sum() and all(np.allclose(full["word", f"w{i:03}"], bary[i], atol=1e-7) for i in np.flatnonzero(used))
+    ca = geometry.gram_correspondence(one, "all", 4)
+    words = {r.word: (r.dim1, r.dim2) for r in geometry.project_words(wide, K4, ca["rows"], ca["inertia"]).collect()}
+    assert all(np.allclose(words[f"w{i:03}"], want["cols"][n], atol=1e-7) for n, i in enumerate(np.flatnonzero(used)))
+    ablation = {r.variant: r for r in geometry.ca_ablation(wide, K4, {"cut": "f"}).collect()}
+    assert ablation["all"].disparity < 1e-12 and abs(ablation["cut"].disparity - geometry.procrustes(want["rows"], geometry.correspondence(x[used & (np.arange(500) % 5 != 0)].T.astype(float))["rows"])) < 1e-9
+    assert abs(geometry.chi2_sf_large(330.0, 301) - 0.1199) < 5e-3 and geometry.chi2_sf_large(5.0, 0) == 1.0 and 0.4 < geometry.chi2_sf_large(1e5, 100_000) < 0.5
+    empty = geometry.gram_correspondence(geometry.gram_sums(wide.where("false"), K4).first(), "all", 4)
+    assert empty["words"] == 0 and empty["chi2"] == 0 and empty["p"] == 1
+
+
+def test_corpora_from_one_count(spark):
+    from tallyloom.operators import corpora
+
+    rows = [(i, K4[i % 4] if i % 5 else "none", i % 3 == 0, None if i % 7 == 0 else i % 2 == 0, [f"w{i % 6}", f"w{i % 6}", f"v{i % 11}"]) for i in range(200)] + [(200, None, True, True, ["w1"])]
+    docs = spark.createDataFrame(rows, "doc_id int, label string, a boolean, b boolean, toks array<string>")
+    sets = {"a": F.col("a"), "b": F.col("b"), "every": F.lit(True)}
+    by_mask = corpora.counts_by_membership(docs, F.col("toks"), "label", [*K4, "none"], sets)
+    for name, test in (("a", lambda r: r[2]), ("b", lambda r: r[3]), ("every", lambda r: True)):
+        for among in ([*K4, "none"], ["k2", "k0"]):
+            got = {r.word: tuple(r)[1:] for r in corpora.corpus_counts(by_mask, list(sets), name, [*K4, "none"], among, 3).collect()}
+            want = {}
+            for r in rows:
+                if test(r) and r[1] in among:
+                    for w in set(r[4]):
+                        want.setdefault(w, [0] * len(among))[among.index(r[1])] += 1
+            assert got == {w: (*c, sum(c)) for w, c in want.items() if sum(c) >= 3}
