@@ -7,9 +7,9 @@ give the Nyström features (kernel values times the inverse root of the landmark
 one-versus-rest kernel ridge regression is solved in closed form.  Documents are scored by batched matrix
 products: presence matrix times landmark matrix, normalised, times the weights.
 
-Only a bounded sample of labelled rows is fitted (``PER_CLASS`` rows of each language, all of a smaller one, texts of
-``FIT_CHARS`` characters or fewer);
-the model, some 25 MB at most, is broadcast; nothing else leaves the executors and no document is shuffled.
+Only a bounded sample of labelled rows is fitted (``PER_CLASS`` rows of each language, all of a smaller one), of which
+presence vectors of 8 KB come to the driver; the model, some 25 MB at most, is broadcast; nothing else leaves the
+executors and no document is shuffled.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; equal scores go to the first
 language in alphabetical order; repeated rows are scored alike; null ids pass through; an empty table gives an
@@ -33,8 +33,8 @@ from tallyloom.llm.sample import per_class
 MAX_N, BITS = 4, 16
 #: Labelled rows of each language that are fitted, about; landmarks among all of them; ridge parameter.
 PER_CLASS, LANDMARKS, RIDGE = 300, 96, 0.05
-#: Fitted rows of all languages together, and their longest text in characters: what comes to the driver is bounded by both.
-MAX_ROWS, FIT_CHARS = 4000, 20_000
+#: Fitted rows of all languages together; each comes to the driver as a presence vector of 2 ** BITS bits, however long its text is.
+MAX_ROWS = 4000
 #: Documents that one matrix product scores.
 ROWS = 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -79,20 +79,35 @@ def presence(text: str, out: np.ndarray) -> bool:
     return True
 
 
+def packed_presence(text: str) -> bytes | None:
+    """The text's presence vector, eight n-grams a byte; None if it has no letter."""
+    x = np.zeros(1 << BITS, np.float32)
+    return np.packbits(x > 0).tobytes() if presence(text, x) else None
+
+
 class Model:
     """landmark presence (2**BITS, m), weights (m, languages), languages."""
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        one = np.zeros(1 << BITS, np.float32)
-        rows = [i for i, t in enumerate(texts) if presence(t, one)]
-        texts, y = [texts[i] for i in rows], np.array([langs[i] for i in rows], object)
+        self._fit([packed_presence(t) for t in texts], langs, landmarks, ridge)
+
+    @classmethod
+    def of_vectors(cls, vectors: list[bytes | None], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+        """The model of rows that are packed presence vectors."""
+        out = cls.__new__(cls)
+        out._fit(vectors, langs, landmarks, ridge)
+        return out
+
+    def _fit(self, vectors: list[bytes | None], langs: list[str], landmarks: int, ridge: float) -> None:
+        rows = [i for i, v in enumerate(vectors) if v]
+        packed, y = [vectors[i] for i in rows], np.array([langs[i] for i in rows], object)
         self.langs = sorted(set(y))
         if not self.langs:
             return
         pick = self._spread(y, landmarks)
-        marks = self._normalised([texts[i] for i in pick])
+        marks = self._unpacked([packed[i] for i in pick])
         self.marks = np.ascontiguousarray(marks.T)
-        k = np.vstack([self._normalised(texts[i : i + ROWS]) @ self.marks for i in range(0, len(texts), ROWS)]).astype(np.float64)
+        k = np.vstack([self._unpacked(packed[i : i + ROWS]) @ self.marks for i in range(0, len(packed), ROWS)]).astype(np.float64)
         values, vectors = np.linalg.eigh(k[pick])
         top = values > 1e-6 * values.max()
         root = vectors[:, top] / np.sqrt(values[top])
@@ -104,12 +119,14 @@ class Model:
         self.weights, self.bias = (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32)
 
     @staticmethod
-    def _normalised(texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), 1 << BITS), np.float32)
-        for i, t in enumerate(texts):
-            presence(t, x[i])
+    def _unpacked(packed: list[bytes]) -> np.ndarray:
+        x = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8)).reshape(len(packed), 1 << BITS).astype(np.float32)
         return x / np.sqrt(x.sum(1, keepdims=True))
 
+    @classmethod
+    def _normalised(cls, texts: list[str]) -> np.ndarray:
+        return cls._unpacked([packed_presence(t) for t in texts])
+
     @staticmethod
     def _spread(y: np.ndarray, landmarks: int) -> list[int]:
         """Rows of all languages in turn."""
@@ -145,9 +162,15 @@ class Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_CLASS) -> Model:
     """Fits a model to a bounded sample of the rows with a language; the rows are chosen by the hash of their id."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= FIT_CHARS)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    picked = sorted((r["lang"], r["text"]) for r in per_class(rows, "lang", F.col("id"), per_lang, MAX_ROWS).toLocalIterator())
-    return Model([t for _, t in picked], [y for y, _ in picked])
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([packed_presence(t) for t in b.column(0).to_pylist()], pa.binary())], ["lang", "vector"])
+
+    sample = per_class(rows, "lang", F.col("id"), per_lang, MAX_ROWS).select("text", "lang").mapInArrow(run, f"lang {rows.schema['lang'].dataType.simpleString()}, vector binary")
+    picked = sorted((r.lang, bytes(r.vector)) for r in sample.where("vector is not null").toLocalIterator())
+    return Model.of_vectors([v for _, v in picked], [y for y, _ in picked])
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates, with DataFrame functions only.
 
 Detected entities (e-mail, IPv4, card, social-security, IBAN and phone numbers, access keys and passwords, persons
-after an honorific or a title, and their family names where the same text has them alone) receive keyed replacements
+after an honorific or a title, and their whole and family names where the same text has them alone) receive keyed replacements
 of the same type, script and format: digits stay digits at the same places, letters keep their case, a card keeps its
 first digit and a valid check digit, an IBAN its country and valid check digits, a mail address gets a reserved
 domain, and a person's name one of the honorific's gender in the name's script.  Names in other scripts than
@@ -48,6 +48,9 @@ SYLLABLES = {
 }
 #: What names a secret that follows it.
 _KEYWORD = "(?i:password|passwd|secret|api_key|token)"
+_NAMED = _KEYWORD + r"[ \t]?[=:][ \t]?"
+#: A secret's value: eight signs or more up to white space or the quote that opened it; closing punctuation isn't part of it.
+_VALUE = r"(?:\"(?=[^\s\"]{8})[^\s\"]*+|'(?=[^\s']{8})[^\s']*+|(?=[^\s\"']\S{7})\S*[^\s.,;:!?)\]}>\"'])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HONORIFIC = "(?:" + "|".join(MALE + FEMALE + OPEN) + r")"
 #: Titles after an honorific and small words inside a name (fixed values).
@@ -62,7 +65,7 @@ _NAME = rf"{_BEFORE}{_WORD}(?:{_GAP}{_BEFORE}{_WORD})*+(?:{_GAP}\p{{Lu}}\p{{M}}*
 #: Types in order of precedence with their Java patterns; none has a capturing group.  None ends inside an entity:
 #: runs have no upper bound but the one of their standard (a phone has 15 digits, an IBAN 34 characters).
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|" + _KEYWORD + r"[ \t]?[=:][ \t]?\"?(?=[A-Za-z0-9_/+-]{8})[A-Za-z0-9_/+.~-]*[A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|" + _NAMED + _VALUE + ")",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d-])\d{15,16}(?![\d-])",
@@ -79,8 +82,16 @@ MAX_ATTEMPTS = 64
 LISTED = 4
 
 
+_TITLED = rf"^(?:{_HONORIFIC})\.? "
+
+
+def _bare(e: Column) -> Column:
+    """A person's name without its honorific."""
+    return F.when(e.rlike(_TITLED), F.regexp_replace(e, r"^\p{L}+\.? ", "")).otherwise(e)
+
+
 def _type(e: Column) -> Column:
-    out = F.when(e.rlike(rf"^(?:{_HONORIFIC})\.? "), F.lit("person")).otherwise(F.lit("family"))
+    out = F.when(e.rlike(_TITLED) | e.rlike(r"[\s\u00A0]"), F.lit("person")).otherwise(F.lit("family"))  # a family name is one word
     for name, p in reversed(list(PATTERNS.items())[:-1]):
         out = F.when(e.rlike(f"^(?:{p})$"), F.lit(name)).otherwise(out)
     return out
@@ -109,9 +120,9 @@ def _canonical(kind: Column, e: Column) -> Column:
         .when(kind == "phone", F.when(F.length(d) == 10, F.concat(F.lit("1"), d)).otherwise(d))
         .when(kind == "email", F.lower(e))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
-        .when(kind == "person", F.concat(_gender(e), F.lit(" "), F.lower(F.regexp_replace(F.regexp_replace(e, r"^\p{L}+\.? ", ""), _GAP, " "))))
+        .when(kind == "person", F.concat(_gender(e), F.lit(" "), F.lower(F.regexp_replace(_bare(e), _GAP, " "))))
         .when(kind == "family", F.lower(e))
-        .when(kind == "secret", F.regexp_replace(e, "^" + _KEYWORD + r"[ \t]?[=:][ \t]?\"?", ""))
+        .when(kind == "secret", F.regexp_replace(e, "^" + _NAMED + "[\"']?", ""))
         .otherwise(e)
     )
 
@@ -123,11 +134,12 @@ def _stream(key: str, *parts: Column) -> Column:
 
 
 def _refill(shape: Column, h: Column) -> Column:
-    """``shape`` with every ASCII letter and digit replaced by one of its class, taken from the stream."""
+    """``shape`` with every ASCII letter and digit replaced by one of its class, taken from the stream; other letters become ASCII ones."""
     dig, low = F.translate(h, "abcdef", "123456"), F.translate(h, "0123456789abcdef", "bcdfghjklmnpqrst")
     at = lambda s, i: F.substr(s, (i % 128) + 1, F.lit(1))
     swap = lambda c, i: (
-        F.when(c.between("0", "9"), at(dig, i)).when(c.between("a", "z"), at(low, i)).when(c.between("A", "Z"), F.upper(at(low, i))).otherwise(c)
+        F.when(c.between("0", "9"), at(dig, i)).when(c.between("a", "z"), at(low, i)).when(c.between("A", "Z"), F.upper(at(low, i)))
+        .when(c.rlike(r"\p{Lu}"), F.upper(at(low, i))).when(c.rlike(r"\p{L}|\p{N}"), at(low, i)).otherwise(c)
     )
     return F.array_join(F.transform(F.split(shape, ""), swap), "")
 
@@ -219,7 +231,7 @@ def _fit(kind: Column, e: Column, core: Column) -> Column:
         F.when(kind.isin("card", "ssn", "phone", "iban"), filled)
         .when(kind == "email", F.when(e == F.lower(e), core).otherwise(cased))
         .when(kind == "secret", F.concat(F.substr(e, F.lit(1), start), core))
-        .when(kind == "person", F.concat(F.regexp_extract(e, r"^(\p{L}+\.? )", 1), core))
+        .when(kind == "person", F.concat(F.when(e.rlike(_TITLED), F.regexp_extract(e, r"^(\p{L}+\.? )", 1)).otherwise(""), core))
         .when(kind == "family", F.when((e == F.upper(e)) & (F.length(e) > 1), F.upper(core)).otherwise(core))
         .otherwise(core)
     )
@@ -247,6 +259,27 @@ def _distinct_cores(names: DataFrame, core, by: Column) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
+def with_known_gender(entities: DataFrame) -> DataFrame:
+    """Persons without a gender (a title, or a name that stands alone) take that of the same name, or else of the same first given name, elsewhere.
+
+    Of names with both, the more frequent gender counts, the male one of equals; names of neither keep none.  Genders
+    are counted with map-side combining and joined by name.
+    """
+    e = materialize(entities)
+    person, gender, name = F.col("kind") == "person", F.substring("canon", 1, 1), F.substr("canon", F.lit(3), F.length("canon"))
+    words = F.split(name, " ")
+    given = F.when(F.size(words) > 1, words[0])
+
+    def known(by: Column, as_: str, out: str) -> DataFrame:
+        seen = e.where(person & gender.isin("m", "f")).groupBy(by.alias(as_)).agg(F.sum(F.when(gender == "m", 1).otherwise(-1)).alias("_n"))
+        return seen.where(F.col(as_).isNotNull()).select(as_, F.when(F.col("_n") >= 0, "m").otherwise("f").alias(out))
+
+    open_ = e.where(person & (gender == "u")).select("canon").distinct().withColumns({"_name": name, "_given": given})
+    told = open_.join(known(name, "_name", "_g1"), "_name", "left").join(known(given, "_given", "_g2"), "_given", "left")
+    told = told.select("canon", F.concat(F.coalesce("_g1", "_g2", F.lit("u")), F.lit(" "), "_name").alias("_canon"))
+    return e.join(told, "canon", "left").withColumn("canon", F.when(person, F.coalesce("_canon", "canon")).otherwise(F.col("canon"))).select(*entities.columns)
+
+
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, core of every distinct entity (kind, canon), with a core that no other entity of its kind has or is.
 
@@ -275,9 +308,10 @@ def redact(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     marked = docs.withColumn(ents, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     holds = F.coalesce(F.size(found) > 0, F.lit(False))
     clean = marked.where(~holds).drop(ents).withColumn("n_entities", F.lit(0).cast("long"))
-    # family names of a text's persons are looked for again, where they stand alone
-    persons = F.filter(found, lambda e: e.rlike(rf"^(?:{_HONORIFIC})\.? "))
-    families = F.array_distinct(F.transform(persons, lambda e: _family(F.regexp_replace(e, r"^\p{L}+\.? ", ""))))
+    # whole names and family names of a text's persons are looked for again, where they stand alone; longer ones first
+    persons = F.transform(F.filter(found, lambda e: e.rlike(_TITLED)), _bare)
+    wanted = F.array_distinct(F.concat(persons, F.transform(persons, _family)))
+    families = F.transform(F.array_sort(F.transform(wanted, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
     alone = F.concat(F.lit(r"|(?<![\p{L}\p{M}'’-])(?:\Q"), F.array_join(families, r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{M}])"))
     held = marked.where(holds).withColumn(pattern, F.when(F.size(families) > 0, F.concat(F.lit(ANY), alone)).otherwise(F.lit(ANY)))
     held = held.withColumn(ents, F.when(F.size(families) > 0, F.regexp_extract_all(text, F.col(pattern), F.lit(0))).otherwise(found))
@@ -285,6 +319,7 @@ def redact(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     each = dirty.select(F.col(listed).alias("list"), F.col(ents).alias("entities")).dropDuplicates(["list"]).select("list", F.posexplode("entities").alias("pos", "e"))
     each = each.withColumn("kind", _type(F.col("e"))).withColumn("canon", _canonical(F.col("kind"), F.col("e")))
+    each = with_known_gender(each)
     table = surrogate_table(each, key)
     fitted = each.join(table, ["kind", "canon"]).select("list", "pos", _fit(F.col("kind"), F.col("e"), F.col("core")).alias("s"))
     new = fitted.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("new"))

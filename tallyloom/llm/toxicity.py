@@ -3,12 +3,11 @@
 A text's terms are its lower-case words and their beginnings of four and five letters, as 32-bit hashes; a term
 is present or not.  The machine adds a weight for each present term and, for each pair of them, the product of
 their factor vectors, so that an insult next to a group mention can weigh more than both alone.  It is fitted by
-gradient descent on the logistic loss of a bounded sample (``EACH`` rows of each label, texts of ``FIT_CHARS``
-characters or fewer); terms that the sample doesn't tie to the label by the chi-square test stay out (at most
+gradient descent on the logistic loss of a bounded sample (``EACH`` rows of each label); terms that the sample doesn't tie to the label by the chi-square test stay out (at most
 ``FEATURES`` are kept).  Without that choice the machine learns the sample's rare words by heart: held-out recall fell
 from 0.99 to 0.89 on 50,000 documents.
 
-Only the sample's term hashes come to the driver; the model, some 100 kB, is broadcast; scoring shuffles nothing
+Terms are counted by Spark; of the sample's rows only the kept terms come to the driver; the model, some 100 kB, is broadcast; scoring shuffles nothing
 and reads whole texts.
 
 Defined cases: a null or empty text has no term and gets the score of the intercept alone; labels that are null
@@ -28,11 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import blocks, read_table, short_id, text_or_empty
+from tallyloom.llm.common import blocks, discard, materialize, read_table, short_id, text_or_empty
 from tallyloom.llm.sample import per_class
 
-#: Longest text that is fitted.
-FIT_CHARS = 20_000
 #: Fitted rows of each label, about; kept terms; factors of each; smallest chi-square and documents of a kept term.
 EACH, FEATURES, FACTORS, MIN_CHI2, MIN_DOCS = 4000, 1024, 8, 20.0, 3
 EPOCHS, BATCH, RATE, L2 = 40, 128, 0.02, 2e-4
@@ -93,12 +90,23 @@ def select(lists: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(values[best])
 
 
-def fit(lists: list[np.ndarray], labels: list[int], seed: int = 7) -> FactorizationMachine | None:
-    """Adam on the logistic loss; ``lists`` holds the term hashes of each row."""
+def select_in_spark(rows: DataFrame, n: int, n_toxic: int) -> np.ndarray:
+    """The same terms as :func:`select`, from rows of y and terms that stay where they are; at most ``FEATURES`` come to the driver."""
+    p = n_toxic / n
+    stats = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("y").cast("double").alias("toxic"))
+    gap = F.col("toxic") - F.col("docs") * F.lit(p)
+    chi2 = F.lit(float(n)) * gap * gap / F.greatest(F.col("docs") * (F.lit(float(n)) - F.col("docs")) * F.lit(p * (1 - p)), F.lit(1e-9))
+    best = stats.withColumn("chi2", chi2).where((F.col("chi2") >= MIN_CHI2) & (F.col("docs") >= MIN_DOCS)).orderBy(F.desc("chi2"), "term").limit(FEATURES)
+    return np.sort(np.array([r.term for r in best.select("term").collect()], np.int64))
+
+
+def fit(lists: list[np.ndarray], labels: list[int], seed: int = 7, features: np.ndarray | None = None) -> FactorizationMachine | None:
+    """Adam on the logistic loss; ``lists`` holds the term hashes of each row, ``features`` those that count (by chi-square, if not given)."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    features = select(lists, y)
+    if features is None:
+        features = select(lists, y)
     x = np.zeros((len(y), len(features)), np.float32)
     for i, row in enumerate(lists):
         at = np.searchsorted(features, row)
@@ -142,12 +150,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits the machine to a bounded sample of labelled documents, chosen by the hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     picked = per_class(known, "y", F.col("id"), each, 2 * each)
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).where(F.length("text") <= FIT_CHARS)
-    rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id", "y"])  # a repeated id counts once
-    got = term_lists(rows, "y").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    sample = texts.join(F.broadcast(picked), "id").dropDuplicates(["id", "y"])  # a repeated id counts once
+    rows = materialize(term_lists(sample, "y"))
+    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(sizes) < 2:
+        return None
+    features = select_in_spark(rows, sum(sizes.values()), sizes[1])
+    kept = F.array_intersect("terms", F.lit(features.tolist()).cast("array<bigint>")) if len(features) else F.array().cast("array<bigint>")
+    got = rows.select("y", kept.alias("terms")).toArrow()  # at most FEATURES terms of each row
+    discard(rows)
     lists = [np.array(t, np.int64) for t in got.column("terms").to_pylist()]
     order = sorted(range(len(lists)), key=lambda i: (got.column("y")[i].as_py(), lists[i].tobytes()))
-    return fit([lists[i] for i in order], [got.column("y")[i].as_py() for i in order])
+    return fit([lists[i] for i in order], [got.column("y")[i].as_py() for i in order], features=features)
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -567,3 +567,55 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_pii_secrets_are_taken_whole(spark):
+    from tallyloom.llm.pii import redact
+
+    secrets = ["abcdefgh!TOPSECRET99", "abc$defghijklmnop", "p@ss:word/with%signs&more=1", "größeresGEHEIMNIS№7", "a.b.c.d.e.f.g.h", "quote'inside\"it99", "x" * 300 + "#END"]
+    rows = [(i, f"password: {s}, then text") for i, s in enumerate(secrets)] + [(50, 'token="abc$defgh!ijk" stays'), (51, "secret='hidden#value1' stays"), (52, "api_key = zz9#zz9#zz9.")]
+    got = {r.doc_id: r for r in redact(documents(spark, rows), "k").collect()}
+    for i, s in enumerate(secrets):
+        out = got[i].text
+        assert got[i].n_entities == 1 and out.startswith("password: ") and out.endswith(", then text") and len(out) == len(rows[i][1])
+        kept = [a for a, b in zip(out[10:], s) if a == b and a.isalnum()]
+        assert len(kept) < max(3, len(s) // 4) and not any(s[j : j + 4] in out[10:-11] and s[j : j + 4].isalnum() for j in range(len(s) - 3))
+    assert got[50].text.startswith('token="') and got[50].text.endswith('" stays') and "defgh" not in got[50].text and "ijk" not in got[50].text
+    assert got[51].text.startswith("secret='") and got[51].text.endswith("' stays") and "value" not in got[51].text
+    assert got[52].text.endswith(".") and "zz9" not in got[52].text
+
+
+def test_pii_one_person_keeps_one_given_name(spark):
+    from tallyloom.llm.pii import redact
+
+    names = ["Alan Smith", "Mary Jones", "Peter Brown", "Jane Doe", "Carl Weber", "Anna Vogel", "Lucy Hale", "Tom Reed", "Nina Falk", "Omar Ruiz", "Ida Lund", "Max Stein", "Eva Kant", "Rolf Benz", "Uma Rao", "Kim Lee", "Leo Marsh", "Amy Pond", "Gus Fring", "Zoe Hart"]
+    rows = [(i, f"{'Mr' if i % 2 else 'Ms.'} {n}, Dr {n}; {n} came. {n.split()[1]} left.") for i, n in enumerate(names)]
+    rows += [(100, "Dr Sarah Connor met Sarah Connor."), (101, "Prof Alan Turing wrote."), (102, "Mr Alan Kay and Alan Kay Junior.")]
+    got = {r.doc_id: r.text for r in redact(documents(spark, rows), "k").collect()}
+    for i, n in enumerate(names):
+        m = re.fullmatch(r"(?:Mr|Ms\.) (\S+) (\S+), Dr (\S+) (\S+); (\S+) (\S+) came\. (\S+) left\.", got[i])
+        assert m and m[1] == m[3] == m[5] and m[2] == m[4] == m[6] == m[7], got[i]
+        assert m[1] != n.split()[0] and m[2] != n.split()[1]
+    a, b = re.fullmatch(r"Dr (\S+ \S+) met (\S+ \S+)\.", got[100]).groups()
+    assert a == b and "Sarah" not in got[100]
+    assert "Alan" not in got[101] + got[102]
+
+
+def test_samples_hold_long_texts(spark):
+    """Texts of any length are learnt from: one label, and one language, stand only in long ones."""
+    from tallyloom.llm import langid, toxicity
+
+    rng = random.Random(6)
+    common = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    long = lambda: " ".join(rng.choices(common, k=4200))
+    rows = [(i, long() + " glorp " + long()) for i in range(20)] + [(100 + i, " ".join(rng.choices(common, k=30))) for i in range(40)]
+    assert min(len(t) for i, t in rows if i < 100) > 28_000
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.score("some glorp here") > model.score("some words here")
+    texts = [(i, "der baum und das haus " * 1500, "de", "s", 0) for i in range(5)] + [(10 + i, "the tree and the house", "en", "s", 0) for i in range(5)]
+    fitted = langid.train(spark.createDataFrame(texts, SCHEMA))
+    assert fitted.langs == ["de", "en"] and fitted.predict(["das haus und der baum", "the house and the tree"])[0] == ["de", "en"]
+    huge = spark.createDataFrame([(1, "the tree and the house " * 60_000), (2, "der baum " * 130_000 + "glorp")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(huge, fitted).orderBy("doc_id").collect()] == ["en", "de"]
+    assert all(0 <= r.score <= 1 for r in toxicity.score(huge, model).collect())
