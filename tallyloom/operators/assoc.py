@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.constants import ALPHA
 from tallyloom.functions.special import chi2_sf, f_sf, safe_div, t_two_sided
 from tallyloom.operators.windows import running_sum
+from tallyloom.sources.scratch import written
 
 
 def _add(cols) -> Column:
@@ -48,7 +49,7 @@ def bh_fdr(rows: DataFrame, p: str = "p_value", out: str = "p_fdr_bh") -> DataFr
     Only one row for each distinct p-value takes part in the ordered windows, which run within slices of the values:
     a value's largest rank is the number of p-values up to it, so ties share their smallest q.
     """
-    counts = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    counts = written(rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k")))  # read five times
     ranked = running_sum(counts, "_p", "_k", "_rank").join(F.broadcast(counts.agg(F.sum("_k").alias("_m")))).withColumn("_q", F.col("_p") * F.col("_m") / F.col("_rank"))
     after = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
     later = ranked.groupBy("_slice").agg(F.min("_q").alias("_least")).select("_slice", F.min("_least").over(after).alias("_later"))  # a row a slice
@@ -146,12 +147,18 @@ def group_stats(rows: DataFrame, grp: str, value: str) -> DataFrame:
     return rows.groupBy(grp).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
+#: Groups that may be compared in pairs.
+MAX_GROUPS = 1000
+
+
 def welch(rows: DataFrame, grp: str, value: str, p_value: bool = False) -> DataFrame:
     """a, b, t_stat, df of Welch's test for every pair of groups."""
     g = rows.groupBy(grp).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("s2")).where("n > 1")
     x = g.select(F.col(grp).alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), (F.col("s2") / F.col("n")).alias("va"))
     y = g.select(F.col(grp).alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), (F.col("s2") / F.col("n")).alias("vb"))
-    j = x.join(F.broadcast(y), F.col("a") < F.col("b"))  # one row per group, a short list
+    if g.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to compare in pairs")
+    j = x.join(F.broadcast(y), F.col("a") < F.col("b"))  # a row a group
     v = F.col("va") + F.col("vb")
     df = v * v / (F.col("va") * F.col("va") / (F.col("na") - 1) + F.col("vb") * F.col("vb") / (F.col("nb") - 1))
     out = j.select("a", "b", ((F.col("ma") - F.col("mb")) / F.sqrt(v)).alias("t_stat"), df.alias("df"))

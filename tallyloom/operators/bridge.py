@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.constants import BRIDGE_CONFIGS, BRIDGE_MIN_COUNT, BRIDGE_MIN_LOGODDS, DELTA_GRID, REFERENCE_DELTA
@@ -98,15 +98,14 @@ def delta_summary(odds: DataFrame, deltas: list[float] = DELTA_GRID, ref: float
     """delta, n_bridge, ratio of all words, jaccard and jaccard_top with the reference delta.
 
     ``jaccard_top`` compares the ``top`` most frequent bridge words of either delta (ties by word); ``rule`` goes to
-    :func:`delta_bridge`.  Each of 64 parts of a delta's words gives its ``top`` most frequent, of which the first stay.
-    Both similarities are null where neither delta has a bridge word.
+    :func:`delta_bridge`; tasks send ``top`` words of each delta at most.  Both similarities are null where neither delta has a bridge word.
     """
     cuts = sorted({*map(float, deltas), float(ref)})
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     wide = delta_bridge(odds, cuts[-1], **rule).select("word", "total", (F.col("l1") - F.col("l2")).alias("d"))
     each = wide.select("*", F.explode(F.array(*map(F.lit, cuts))).alias("delta")).where("d < delta")
-    parts = each.groupBy("delta", F.pmod(F.xxhash64("word"), F.lit(64)).alias("_part")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("k"), "word"))), 1, top).alias("first"))
-    firsts = parts.groupBy("delta").agg(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, top)["word"].alias("words"))  # 64 short lists a delta
+    best = each.withColumn("_place", F.row_number().over(Window.partitionBy("delta").orderBy(F.desc("total"), "word"))).where(F.col("_place") <= top)
+    firsts = best.groupBy("delta").agg(F.collect_list("word").alias("words"))  # ``top`` words a delta
     base = firsts.where(F.col("delta") == float(ref)).select(F.col("words").alias("base"))
     words = odds.agg(F.countDistinct("word").alias("n_words"))
     one = wide.agg(*(x for i, c in enumerate(cuts) for x in (n(F.col("d") < c).alias(f"n{i}"), n((F.col("d") < c) & (F.col("d") < ref)).alias(f"b{i}"), n((F.col("d") < c) | (F.col("d") < ref)).alias(f"e{i}")))).join(F.broadcast(words))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.windows import folds
+from tallyloom.sources.scratch import written
 
 
 class TfIdf:
@@ -53,7 +54,7 @@ def classifier(kind: str, label: str = "label", n: int = 1000, seed: int = 42):
 def cross_validate(rows: DataFrame, label: str, kind: str = "lr", k: int = 5, key: str = "doc_id", tokens_col: str = "toks", seed: int = 42) -> DataFrame:
     """key, truth, pred, p (array, for lr and rf) out of fold; the vocabulary is fitted within each training fold."""
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    dealt = folds(index.transform(rows), key, label, k, seed).persist()
+    dealt = written(folds(index.transform(rows), key, label, k, seed))
     n, parts = dealt.count(), []
     names = F.array(*map(F.lit, index.labels))
     for f in range(k):
@@ -71,12 +72,12 @@ def cross_validate(rows: DataFrame, label: str, kind: str = "lr", k: int = 5, ke
 
 def binary_relevance(rows: DataFrame, labels: list[str], set_col: str, key: str = "doc_id", tokens_col: str = "toks", k: int = 3, seed: int = 42) -> DataFrame:
     """key and one out-of-fold probability for each label; balanced class weights; a constant label keeps its value."""
-    dealt = folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed).persist()
+    dealt = written(folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed))
     parts = []
     for f in range(k):
         train = dealt.where(F.col("fold") != f)
         features = tfidf(tokens_col).fit(train)
-        tr, te = features.transform(train).select(set_col, "features").persist(), features.transform(dealt.where(F.col("fold") == f))
+        tr, te = written(features.transform(train).select(set_col, "features")), features.transform(dealt.where(F.col("fold") == f))
         out = te.select(key, "features")
         for c in labels:
             y = tr.withColumn("label", F.array_contains(set_col, c).cast("double"))
@@ -108,7 +109,7 @@ def classifier_chain(rows: DataFrame, labels: list[str], set_col: str, key: str
 
     Training uses the true earlier labels, prediction the predicted ones (probability above 0.5).
     """
-    dealt = folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed).persist()
+    dealt = written(folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed))
     parts = []
     for f in range(k):
         train = dealt.where(F.col("fold") != f)
@@ -134,7 +135,7 @@ def classifier_chain(rows: DataFrame, labels: list[str], set_col: str, key: str
 
 def soft_label_ridge(rows: DataFrame, soft: str, names: list[str], key: str = "doc_id", tokens_col: str = "toks", k: int = 3, alpha: float = 1.0, seed: int = 42) -> DataFrame:
     """key, q: out-of-fold ridge regressions of each class's soft label, clipped at 0 and normalised."""
-    dealt = folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed).persist()
+    dealt = written(folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed))
     parts = []
     for f in range(k):
         train = dealt.where(F.col("fold") != f)

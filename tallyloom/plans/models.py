@@ -8,6 +8,7 @@ from tallyloom.constants import BRIDGE_CONFIGS
 from tallyloom.functions import text as tx
 from tallyloom.operators import assoc, batch, bridge, counts, geometry, ml, nested, oversight, resample, windows
 from tallyloom.plans import base as b
+from tallyloom.sources.scratch import written
 
 QUERIES, SQL = {}, {}
 
@@ -77,9 +78,13 @@ def confirm(spark, d):
 
 @query()
 def freq_matched_baseline(spark, d):
-    stats = b.chi2_k4(spark, d)
-    t = assoc.top2(stats, b.K4).withColumn("hit", bridge.is_bridge(BRIDGE_CONFIGS["loose"], 5))
-    return resample.frequency_matched(t.select("word", "chi2", F.col("total").alias("freq"), "hit"), "chi2", "freq", "hit", n=50)
+    """Chi-square of each configuration's bridge words against 1000 draws of words of like frequency."""
+    t, out = written(assoc.top2(b.chi2_k4(spark, d), b.K4)), None
+    for name, config in BRIDGE_CONFIGS.items():
+        hit = t.select("word", "chi2", F.col("total").alias("freq"), bridge.is_bridge(config, 5).alias("hit"))
+        x = resample.frequency_matched(hit, "chi2", "freq", "hit", n=1000).select(F.lit(name).alias("config"), "*")
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 @query()
@@ -181,7 +186,7 @@ def mantel_classes(spark, d):
     x = geometry.correspondence(geometry.matrix(best(counts.doc_counts(docs, F.col("toks"), "lang", b.LANGS, 5)), b.LANGS)[1])["rows"]
     y = geometry.correspondence(geometry.matrix(best(counts.token_counts(docs, F.col("toks"), "lang", b.LANGS, 5)), b.LANGS)[1])["rows"]
     dist = lambda m: ((m[:, None] - m[None]) ** 2).sum(2) ** 0.5
-    r, p = geometry.mantel(dist(x), dist(y), 99)
+    r, p = geometry.mantel(dist(x), dist(y), 499)
     return spark.createDataFrame([(r, p)], "rho double, p_value double")
 
 

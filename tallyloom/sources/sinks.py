@@ -8,12 +8,17 @@ import os
 from pyspark.sql import DataFrame
 
 
+BOM = "\ufeff"
+
+
 def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header; ``single`` is for small summaries only."""
+def write_csv(df: DataFrame, path: str, single: bool = False, bom: bool = False) -> None:
+    """CSV with a header; ``single`` is for small summaries only.  ``bom`` puts the UTF-8 mark before each file's header, as spreadsheets want it."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], f"{BOM}{df.columns[0]}")
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -415,3 +415,10 @@ def test_corpora_from_one_count(spark):
                     for w in set(r[4]):
                         want.setdefault(w, [0] * len(among))[among.index(r[1])] += 1
             assert got == {w: (*c, sum(c)) for w, c in want.items() if sum(c) >= 3}
+
+
+def test_csv_with_a_mark(spark, tmp_path):
+    d = spark.createDataFrame([("a,b", 1), ("여", 2)], "name string, n int")
+    sinks.write_csv(d, str(tmp_path / "m"), single=True, bom=True)
+    raw = next((tmp_path / "m").glob("part-*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfname,n") and raw.decode("utf-8-sig").splitlines() == ["name,n", '"a,b",1', "여,2"]
