@@ -52,3 +52,44 @@ def qa_pairs(turns: DataFrame, group: list[str], order: str, kind: str, text: st
     inner = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     asked = F.last(F.when(F.col(kind) == question, F.col(text)), ignorenulls=True).over(inner)
     return marked.withColumn("question", F.coalesce(asked, F.lit(none))).where(F.col(kind) == answer).withColumnRenamed(text, "answer").drop("_block")
+
+
+#: Negating adverbs, the negating auxiliary, its mark, and the parts of speech that are kept (fixed values).
+NEGATORS, NEGATING, NEGATED = ["안", "못"], "않다", "안_"
+VERBAL, KEPT = ["Verb", "Adjective"], ["Noun", "Verb", "Adjective"]
+#: Tagged words folded at a time, so that a long text doesn't copy its whole result with each word.
+PIECE = 512
+
+
+def tagged_tokens(words: Column, stop: list[str]) -> Column:
+    """Tokens of an array of (lemma, tag): nouns, verbs and adjectives of two letters or more that are no stop words.
+
+    A negating adverb before a verb or adjective takes it up (``안_x``; nothing if x itself wouldn't be kept); the negating auxiliary
+    marks the token before it, once.  Null or empty arrays give an empty one; a null lemma or tag is kept by no rule.
+    """
+    n = F.coalesce(F.size(words), F.lit(0))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def step(s: Column, x: Column) -> Column:
+        lemma = x["lemma"]
+        fits = yes((F.length(lemma) > 1) & ~lemma.isin(stop))
+        taken = s["open"].isNotNull()
+        opens = ~taken & yes(lemma.isin(NEGATORS)) & yes(x["next"].isin(VERBAL))
+        marks = ~taken & ~opens & yes(lemma == NEGATING)
+        new = F.when(taken & fits, F.concat(s["open"], F.lit("_"), lemma)).when(~taken & ~opens & ~marks & yes(x["tag"].isin(KEPT)) & fits, lemma)
+        last = F.when(new.isNotNull(), new).when(marks & ~yes(s["last"].startswith(NEGATED)), F.concat(F.lit(NEGATED), s["last"])).otherwise(s["last"])
+        done = F.when(new.isNotNull() & s["last"].isNotNull(), F.concat(s["done"], F.array(s["last"]))).otherwise(s["done"])
+        return F.struct(done.alias("done"), last.alias("last"), F.when(opens, lemma).alias("open"))
+
+    none, empty = F.lit(None).cast("string"), F.array(F.lit(None).cast("string"))
+    start = lambda s: F.struct(F.slice(empty, 1, 0).alias("done"), s["last"].alias("last"), s["open"].alias("open"))
+    ahead = F.transform(words, lambda w, i: F.struct(w["lemma"].alias("lemma"), w["tag"].alias("tag"), F.get(words, i + 1)["tag"].alias("next")))
+
+    def piece(s: Column, low: Column) -> Column:
+        one = F.aggregate(F.slice(ahead, low, PIECE), start(s), step)
+        return F.transform(F.array(one), lambda o: F.struct(F.concat(s["parts"], F.array(o["done"])).alias("parts"), o["last"].alias("last"), o["open"].alias("open")))[0]
+
+    zero = F.struct(F.slice(F.array(empty), 1, 0).alias("parts"), none.alias("last"), none.alias("open"))
+    lows = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    whole = F.aggregate(lows, zero, piece, lambda s: F.concat(F.flatten(s["parts"]), F.filter(F.array(s["last"]), lambda t: t.isNotNull())))
+    return F.when(n > 0, whole).otherwise(F.array().cast("array<string>"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def catalog() -> tuple[dict, dict[str, str]]:
     """(queries, oracle SQL) of all plan modules."""
-    from tallyloom.plans import cases, models, more, sets, sweeps, words
+    from tallyloom.plans import cases, models, more, sets, sweeps, vectors, words
 
     queries, sql = {}, {}
-    for module in (words, sets, models, sweeps, cases, more):
+    for module in (words, sets, models, sweeps, cases, more, vectors):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql

@@ -25,3 +25,11 @@ def written(df: DataFrame) -> DataFrame:
     folder = scratch_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the folders that a table read from ``written`` lies in, once nothing reads it any more."""
+    spark, folders = df.sparkSession, {f.split("/tables-")[0] + "/tables-" + f.split("/tables-")[1].split("/")[0] for f in df.inputFiles() if "/tables-" in f}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
