@@ -422,3 +422,12 @@ def test_csv_with_a_mark(spark, tmp_path):
     sinks.write_csv(d, str(tmp_path / "m"), single=True, bom=True)
     raw = next((tmp_path / "m").glob("part-*.csv")).read_bytes()
     assert raw.startswith(b"\xef\xbb\xbfname,n") and raw.decode("utf-8-sig").splitlines() == ["name,n", '"a,b",1', "여,2"]
+
+
+def test_bridge_evidence_does_not_depend_on_the_order_of_rows(spark):
+    wide = spark.createDataFrame([("a", 1, 9, 10), ("b", 2, 8, 10), ("c", 3, 7, 10)], "word string, c0 int, c1 int, total int")
+    orders = [["a", "b", "c"], ["c", "b", "a"], ["b", "c", "a"], ["c", "a", "b"]]
+    docs = spark.createDataFrame(list(enumerate(orders)), "doc_id int, toks array<string>")
+    got = oversight.evidence_bridge(docs, F.col("toks"), wide, wide, 2).collect()
+    low, high = (1 / 10 + 2 / 10 + 3 / 10) / 3, (7 / 10 + 8 / 10 + 9 / 10) / 3
+    assert {(r.n_bridge, *r.g) for r in got} == {(3, low / (low + high), high / (low + high))}
