@@ -476,6 +476,15 @@ def test_repeated_bytes_of_long_texts(spark):
     assert got == {1: [(_PIECE - 300, _PIECE + 400), (_PIECE + 5400, _PIECE + 5800)], 2: [(50, 750)], 3: [(401, 801)], 4: [(0, 90_000)], 5: [(0, 60_000)], 6: []}
 
 
+def test_repeated_bytes_marks_are_one_row_a_content(spark):
+    """Marks of one content meet its places as one row, merged where their bytes meet."""
+    from tallyloom.llm.substring_dedup import _by_content
+
+    marks = spark.createDataFrame([(b"x", 0, 2), (b"x", 3, 1), (b"x", 1, 9), (b"x", 40, 2), (b"x", 40, 2), (b"y", 5, 1)], "c binary, start int, count int")
+    got = {bytes(r.c): [(m["start"], m["count"]) for m in r.marks] for r in _by_content(marks, 10).collect()}
+    assert got == {b"x": [(0, 10), (40, 2)], b"y": [(5, 1)]}
+
+
 def test_run_index():
     """Order, backward steps, matching statistics and marks against plain code."""
     from collections import Counter
