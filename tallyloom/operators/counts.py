@@ -41,6 +41,31 @@ def token_counts(docs: DataFrame, tokens: Column, grp: str, classes: list[str],
     return wide_counts(doc_words(docs, tokens, grp, distinct=False), classes, grp, min_total)
 
 
+def both_counts(docs: DataFrame, tokens: Column, grp: str, classes: list[str], min_total: int = 5) -> DataFrame:
+    """Document counts (wide) and t0..tK-1, the numbers of occurrences by class, from one pass over the tokens."""
+    as_rows = lambda ws, first: F.transform(ws, lambda w: F.struct(w.alias("word"), F.lit(first).alias("first")))
+    marked = F.concat(as_rows(F.array_distinct(tokens), True), as_rows(tokens, False))
+    words = docs.where(F.col(grp).isin(classes)).select(grp, F.explode(marked).alias("x")).select(grp, "x.word", "x.first")
+    n = lambda test, name: F.sum(F.when(test, 1).otherwise(0)).alias(name)
+    cells = [x for i, c in enumerate(classes) for x in (n((F.col(grp) == c) & F.col("first"), f"c{i}"), n((F.col(grp) == c) & ~F.col("first"), f"t{i}"))]
+    out = words.groupBy("word").agg(*cells).withColumn("total", sum((F.col(f"c{i}") for i in range(1, len(classes))), F.col("c0")))
+    return out.where(F.col("total") >= min_total) if min_total else out
+
+
+def main_and_sub_counts(docs: DataFrame, tokens: Column, main: Column, subs: Column, classes: list[str]) -> DataFrame:
+    """word, m0..mK-1, s0..sK-1: numbers of documents whose main class, and of whose other classes one, is each class."""
+    labelled = docs.select(main.alias("_main"), F.array_except(F.array_distinct(subs), F.array(main)).alias("_subs"), F.explode(F.array_distinct(tokens)).alias("word"))
+    n = lambda test, name: F.sum(F.when(test, 1).otherwise(0)).alias(name)
+    return labelled.groupBy("word").agg(*(x for i, c in enumerate(classes) for x in (n(F.col("_main") == c, f"m{i}"), n(F.array_contains("_subs", c), f"s{i}"))))
+
+
+def weighted(both: DataFrame, alpha: float, classes: list[str], min_total: float = 8) -> DataFrame:
+    """:func:`weighted_counts` from :func:`main_and_sub_counts`, for any alpha."""
+    cells = [(F.col(f"m{i}") + F.lit(float(alpha)) * F.col(f"s{i}")).alias(f"c{i}") for i in range(len(classes))]
+    out = both.select("word", *cells).withColumn("total", sum((F.col(f"c{i}") for i in range(1, len(classes))), F.col("c0")))
+    return out.where(F.col("total") >= min_total)
+
+
 def weighted_counts(docs: DataFrame, tokens: Column, main: Column, subs: Column, alpha: float, classes: list[str], min_total: float = 8) -> DataFrame:
     """Document counts with weight 1 for the main class and alpha for each other one (wide)."""
     labels = F.array_union(

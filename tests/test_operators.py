@@ -441,3 +441,18 @@ def test_corrections_count_the_corpus_once(spark, monkeypatch, name):
     monkeypatch.setattr(base, "counts_k4", lambda *a, **kw: calls.append(1) or counted(*a, **kw))
     (models.QUERIES | sweeps.QUERIES)[name](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_counts_of_one_pass(spark):
+    """Both counts, and weights of any alpha, from one count each, as the separate ones give them."""
+    rows = [(1, "a", ["b", "b", "c"], ["x", "y", "x"]), (2, "b", ["a", "d"], ["y", "y"]), (3, "a", [], ["y"]), (4, "b", ["b"], []), (5, "c", None, None), (6, None, ["a"], ["x"])]
+    d = spark.createDataFrame(rows, "doc_id int, main string, subs array<string>, toks array<string>")
+    row = lambda t, cs: {r.word: [round(float(r[c]), 9) for c in cs] for r in t.collect()}
+    both = counts.both_counts(d, F.col("toks"), "main", ["a", "b", "c"], 1)
+    cs = ["c0", "c1", "c2", "total"]
+    assert row(both, cs) == row(counts.doc_counts(d, F.col("toks"), "main", ["a", "b", "c"], 1), cs)
+    assert row(both, ["t0", "t1", "t2"]) == row(counts.token_counts(d, F.col("toks"), "main", ["a", "b", "c"], 1), ["c0", "c1", "c2"])
+    known = d.where("main is not null")
+    once = counts.main_and_sub_counts(known, F.col("toks"), F.col("main"), F.col("subs"), ["a", "b", "c"])
+    for alpha in (0.0, 0.3, 1.0):
+        assert row(counts.weighted(once, alpha, ["a", "b", "c"], 1), cs) == row(counts.weighted_counts(known, F.col("toks"), F.col("main"), F.col("subs"), alpha, ["a", "b", "c"], 1), cs)
