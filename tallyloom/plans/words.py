@@ -9,6 +9,7 @@ from tallyloom.constants import BRIDGE_CONFIGS, DELTA_GRID
 from tallyloom.functions import text as tx
 from tallyloom.operators import assoc, bridge, counts, windows
 from tallyloom.plans import base as b
+from tallyloom.sources.scratch import written
 
 QUERIES, SQL = {}, {}
 
@@ -283,9 +284,9 @@ j AS (SELECT o.grp, o.cnt AS a, c2.cnt2 AS b FROM o JOIN c2 USING (word, grp)),
 r AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY a) + (count(*) OVER (PARTITION BY grp, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY grp ORDER BY b) + (count(*) OVER (PARTITION BY grp, b) - 1) / 2.0 AS rb FROM j)
 SELECT grp, round(corr(ra, rb), 6) AS rho, count(*) AS n FROM r GROUP BY grp""")
 def spearman_token_vs_doc(spark, d):
-    docs = b.docs_k4(spark, d)
-    tok = counts.doc_words(docs, F.col("toks"), "grp", distinct=False).groupBy("word", "grp").agg(F.count(F.lit(1)).alias("b"))
-    j = b.odds_k4(spark, d).select("word", "grp", F.col("cnt").alias("a")).join(tok, ["word", "grp"])
+    wide = counts.both_counts(b.docs_k4(spark, d), F.col("toks"), "grp", b.K4, 5)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("grp"), F.col(f"c{i}").alias("a"), F.col(f"t{i}").alias("b")) for i, c in enumerate(b.K4))))
+    j = written(wide.select(each.alias("x")).select("x.*").where("b > 0"))
     return b.rounded(assoc.spearman(j, "a", "b", "grp"), "rho")
 
 
