@@ -213,7 +213,7 @@ SELECT unnest(['numeric', 'numeric', 'numeric', 'linguistic', 'linguistic', 'str
        unnest(['mean entropy loss', 'single labels', 'several labels', 'bridge mismatch', 'bridge presence with and without sub', 'mismatch outside the most severe class', 'ground truth among subs', 'kappa']) AS indicator,
        unnest([t1, t2, t3, t4, t5, t6, t7, t8]) AS value FROM p""")
 def triangulation_report(spark, d):
-    t, found = with_tokens(spark, d), case_bridges(spark, d)
+    t, found = written(with_tokens(spark, d).withColumn("toks", F.array_distinct("toks"))), written(case_bridges(spark, d))
     some = t.where("main IS NOT NULL")
     entropy = some.agg(F.avg(F.when(F.size("subs") > 0, F.log2(1.0 + F.size("subs"))).otherwise(0.0)).alias("mean_loss"), F.sum((F.size("subs") == 0).cast("long")).alias("n_single"), F.sum((F.size("subs") > 0).cast("long")).alias("n_multi"))
     wrong = cases.bridge_mismatch(t, F.col("toks"), found).agg((F.sum("n_mismatch") / F.sum("n")).alias("mismatch_rate"))
