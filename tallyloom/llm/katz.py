@@ -305,6 +305,23 @@ def _backoff(h: np.ndarray, count: np.ndarray, low: np.ndarray, d: np.ndarray, k
     return np.log10(np.where(count > 0, kept / whole[inverse], alpha[inverse] * low))
 
 
+def _chunk_sums(head: list[tuple], score: np.ndarray, base: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each chunk's number and its documents' sums over one bucket's pieces, whose entries are sorted by chunk together; the list is emptied."""
+    chunks = np.unique(np.concatenate([x[8] for x in head]))
+    narrow = np.uint16 if len(chunks) <= 1 << 16 else np.uint32
+    pair = np.repeat(np.arange(len(score), dtype=np.uint32), np.concatenate([x[4] for x in head]).astype(np.int64))
+    at = np.concatenate([np.searchsorted(chunks, x[8]).astype(narrow)[x[5].astype(np.int64)] for x in head])
+    doc, num = (np.concatenate([x[i] for x in head]) for i in (6, 7))
+    head.clear()
+    order = np.argsort(at, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(chunks)))])
+    for k, chunk in enumerate(chunks):
+        e = order[cuts[k] : cuts[k + 1]]
+        if len(e):
+            p, c, ds = pair[e], num[e].astype(np.int64), doc[e].astype(np.int64)
+            yield int(chunk), [np.bincount(ds, x[p] * c) for x in (score, base, known)]
+
+
 def _score_buckets(dealt: DataFrame, unigrams: Unigrams, d: np.ndarray, hot, hot_sums) -> DataFrame:
     """chunk, payload: sums over each chunk's documents for every bucket."""
 
@@ -319,25 +336,8 @@ def _score_buckets(dealt: DataFrame, unigrams: Unigrams, d: np.ndarray, hot, hot
             cw = np.concatenate([x[2].astype(np.int64) for x in head])
             count = np.concatenate([x[3].astype(np.int64) for x in head])
             score = _backoff(h, count, unigrams.probability(cw), d, hot.value[0], hot_sums.value)
-            base, known, done = unigrams.base(cw), (cw > 0).astype(np.int64), 0
-            sums: dict[int, list[np.ndarray]] = {}
-            for x in head:
-                sizes, at, doc, num, chunks = x[4], x[5].astype(np.int64), x[6].astype(np.int64), x[7].astype(np.int64), x[8]
-                pair = np.repeat(np.arange(done, done + len(sizes)), sizes)
-                done += len(sizes)
-                order = np.argsort(at.astype(np.uint32), kind="stable")
-                cuts = np.searchsorted(at[order], np.arange(len(chunks) + 1))
-                for k, chunk in enumerate(chunks):
-                    e = order[cuts[k] : cuts[k + 1]]
-                    if len(e):
-                        p, c, ds = pair[e], num[e], doc[e]
-                        add = [np.bincount(ds, score[p] * c), np.bincount(ds, base[p] * c), np.bincount(ds, known[p] * c)]
-                        old = sums.get(int(chunk))
-                        if old is not None:
-                            size = max(len(old[0]), len(add[0]))
-                            add = [np.pad(x, (0, size - len(x))) + np.pad(y, (0, size - len(y))) for x, y in zip(old, add, strict=True)]
-                        sums[int(chunk)] = add
-            for chunk, (s, t, n) in sums.items():
+            base, known = unigrams.base(cw), (cw > 0).astype(np.int64)
+            for chunk, (s, t, n) in _chunk_sums(head, score, base, known):
                 data = pack(s, t, small(n.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["chunk", "payload"])
 

@@ -7,6 +7,7 @@ import re
 import sys
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,29 @@ def test_katz_bigram_table(spark):
     assert sorted(r["count"] for r in rows) == [1, 1, 1, 2, 2]
 
 
+def test_katz_sums_a_bucket_chunk_by_chunk_however_many_pieces(monkeypatch):
+    """Sums by chunk equal plain ones, and their number is that of the chunks, not pieces times chunks."""
+    from tallyloom.llm import katz
+
+    rng, head, plain, done = np.random.default_rng(5), [], {}, 0
+    score = rng.random(40 * 6)
+    for _ in range(40):
+        sizes = rng.integers(1, 4, 6)
+        chunks = rng.choice(9, 7, replace=False).astype(np.int64) << 32
+        at, doc, num = rng.integers(0, 7, sizes.sum()), rng.integers(0, 300, sizes.sum()), rng.integers(1, 5, sizes.sum())
+        for k, d, c, p in zip(at, doc, num, np.repeat(np.arange(done, done + 6), sizes), strict=True):
+            plain[int(chunks[k]), int(d)] = plain.get((int(chunks[k]), int(d)), 0.0) + score[p] * c
+        head.append((None, None, None, None, sizes.astype(np.uint8), at.astype(np.uint8), doc.astype(np.uint16), num.astype(np.uint8), chunks))
+        done += 6
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: calls.append(1) or count(*a, **b))
+    got = dict(katz._chunk_sums(head, score, 2 * score, np.ones(len(score), np.int64)))
+    assert len(calls) <= 3 * 9 + 1
+    seen = {(c, d): s for c, (sums, _, n) in got.items() for d, s in enumerate(sums) if n[d]}
+    assert seen.keys() == plain.keys() and all(abs(seen[k] - plain[k]) < 1e-12 for k in plain)
+    assert all(np.allclose(base, 2 * sums) for sums, base, _ in got.values())
+
+
 def test_katz_odd_cases(spark):
     from tallyloom.llm import katz
 
