@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.scratch import written
 
 #: Slices that an ordered window over all rows is cut into.
 SLICES = 64
@@ -102,3 +103,21 @@ def set_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     n = lambda c: F.count(F.when(c, 1))
     both, either = n(F.col("_a").isNotNull() & F.col("_b").isNotNull()), F.count(F.lit(1))
     return j.agg(n(F.col("_a").isNotNull()).alias("n_a"), n(F.col("_b").isNotNull()).alias("n_b"), both.alias("both"), either.alias("either"), F.try_divide(both.cast("double"), either.cast("double")).alias("jaccard"))
+
+
+def met_words(rows: DataFrame, key: str, words: str, chosen: DataFrame, least: int) -> DataFrame:
+    """word, other, n: in how many rows a chosen word and another one stand together, from ``least`` rows on.
+
+    ``words``: a row's distinct words; ``chosen``: word.  Words of fewer rows than ``least`` can be in no such pair and are left out
+    first.  What is exchanged are numbers of rows by word and of words by row, and counted pairs; no row travels once a word.
+    """
+    at = rows.select(key, F.explode(words).alias("word"))
+    often = at.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("word")
+    known = often.join(chosen.select("word", F.lit(1).alias("_one")), "word", "left").select("word", (F.monotonically_increasing_id() * 2 + F.coalesce("_one", F.lit(0))).alias("id"))
+    known = written(known)
+    lists = at.groupBy("word", F.spark_partition_id().alias("_part")).agg(F.collect_list(key).alias("rows"))  # of one task's rows
+    ids = lists.join(known, "word").select("id", F.explode("rows").alias("row")).groupBy("row").agg(F.collect_list("id").alias("ids"))
+    pairs = ids.select(F.explode(F.filter("ids", lambda i: i.bitwiseAND(F.lit(1)) == 1)).alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a <> b")
+    n = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    name = lambda c: known.select(F.col("id").alias(c), F.col("word").alias({"a": "word", "b": "other"}[c]))
+    return n.join(name("a"), "a").join(name("b"), "b").select("word", "other", "n")

@@ -337,6 +337,5 @@ def bridge_word_distribution(spark, d):
 @query(f"""{_ROLE_BR}, u AS (SELECT conv_id, turn, list_distinct(toks) AS toks FROM d), x AS (SELECT conv_id, turn, toks, unnest(toks) AS word FROM u),
 y AS (SELECT word, unnest(toks) AS other FROM x JOIN br USING (word)) SELECT word, other, count(*) AS n FROM y WHERE word <> other GROUP BY ALL HAVING count(*) >= 10""")
 def bridge_cooccur(spark, d):
-    t = b.turns(spark, d)
-    x = t.select(F.array_distinct("toks").alias("toks")).select("toks", F.explode("toks").alias("word")).join(_role_bridges(t), "word", "left_semi")
-    return x.select("word", F.explode("toks").alias("other")).where("word != other").groupBy("word", "other").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    t = written(b.turns(spark, d).select("role", F.array_distinct("toks").alias("toks"), F.monotonically_increasing_id().alias("row")))
+    return windows.met_words(t, "row", "toks", _role_bridges(t), 10)

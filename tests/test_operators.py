@@ -456,3 +456,31 @@ def test_counts_of_one_pass(spark):
     once = counts.main_and_sub_counts(known, F.col("toks"), F.col("main"), F.col("subs"), ["a", "b", "c"])
     for alpha in (0.0, 0.3, 1.0):
         assert row(counts.weighted(once, alpha, ["a", "b", "c"], 1), cs) == row(counts.weighted_counts(known, F.col("toks"), F.col("main"), F.col("subs"), alpha, ["a", "b", "c"], 1), cs)
+
+
+def test_words_that_meet_are_counted_without_moving_rows_by_word(spark):
+    """Pairs equal plain code's; no join has a row's words beside one of them."""
+    from itertools import product
+
+    from tallyloom.operators import windows
+
+    rows = [(i, sorted({f"w{(i * j) % 7}" for j in range(1, 5)} | {f"once{i}"})) for i in range(30)] + [(30, []), (31, None)]
+    docs, chosen = spark.createDataFrame(rows, "row long, toks array<string>"), spark.createDataFrame([("w1",), ("w3",), ("once2",), ("gone",)], "word string")
+    got = windows.met_words(docs, "row", "toks", chosen, 3)
+    plain = {}
+    for _, ws in rows:
+        for a, b in product(ws or [], ws or []):
+            if a != b and a in ("w1", "w3", "once2"):
+                plain[a, b] = plain.get((a, b), 0) + 1
+    assert {(r.word, r.other): r.n for r in got.collect()} == {k: n for k, n in plain.items() if n >= 3}
+
+    def nodes(p):
+        yield p
+        for i in range(p.children().size()):
+            yield from nodes(p.children().apply(i))
+
+    from tallyloom.plans import words
+
+    plan = words.bridge_cooccur(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    joins = [n for n in nodes(plan) if n.nodeName() == "Join"]
+    assert joins and not any("array<string>" in n.children().apply(i).schema().catalogString() for n in joins for i in (0, 1))
