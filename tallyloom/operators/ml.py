@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from tallyloom.operators.foldterms import FoldTerms, fold_terms
 from tallyloom.operators.windows import folds
-from tallyloom.sources.scratch import written
+from tallyloom.sources.scratch import dropped, written
+
+#: Models that are fitted at a time; each keeps its rows until it is done.
+PARALLEL = 2
+
+
+def _together(spark: SparkSession, jobs: list[Callable]) -> list:
+    """The results of the calls, ``PARALLEL`` of which run at a time."""
+    with ThreadPool(PARALLEL) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda f: f()), jobs, chunksize=1)
 
 
 class TfIdf:
@@ -37,6 +51,10 @@ class TfIdf:
         scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_counts", outputCol="_weighted")
         return PipelineModel([*counted.stages, scale, Normalizer(p=2.0, inputCol="_weighted", outputCol=self.out)])
 
+    def by_fold(self, dealt: DataFrame, k: int) -> FoldTerms:
+        """The same of each training set of ``k`` folds (``dealt``: written, with fold), counted together; ties of frequency go by term."""
+        return fold_terms(dealt, self.tokens_col, k, self.min_df, self.max_features, self.bigrams)
+
 
 def tfidf(tokens_col: str = "toks", min_df: int = 2, max_features: int = 20_000, bigrams: bool = True, out: str = "features") -> TfIdf:
     return TfIdf(tokens_col, min_df, max_features, bigrams, out)
@@ -72,22 +90,32 @@ def cross_validate(rows: DataFrame, label: str, kind: str = "lr", k: int = 5, ke
 
 def binary_relevance(rows: DataFrame, labels: list[str], set_col: str, key: str = "doc_id", tokens_col: str = "toks", k: int = 3, seed: int = 42) -> DataFrame:
     """key and one out-of-fold probability for each label; balanced class weights; a constant label keeps its value."""
-    dealt = written(folds(rows.withColumn("_all", F.lit("x")), key, "_all", k, seed))
-    parts = []
+    dealt = written(folds(rows.select(key, tokens_col, set_col).withColumn("_all", F.lit("x")), key, "_all", k, seed).drop("_all"))
+    terms, parts = tfidf(tokens_col).by_fold(dealt, k), []
+    dropped(dealt)
+    fitted, todo, tests = {}, [], []
+    held = {r.fold: r for r in terms.rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.array_contains(set_col, c).cast("double")).alias(f"ones{i}") for i, c in enumerate(labels))).collect()}
     for f in range(k):
-        train = dealt.where(F.col("fold") != f)
-        features = tfidf(tokens_col).fit(train)
-        tr, te = written(features.transform(train).select(set_col, "features")), features.transform(dealt.where(F.col("fold") == f))
-        out = te.select(key, "features")
-        for c in labels:
-            y = tr.withColumn("label", F.array_contains(set_col, c).cast("double"))
-            ones, n = y.agg(F.sum("label"), F.count(F.lit(1))).first()
-            if not n or ones in (0, n):
-                out = out.withColumn(f"p_{c}", F.lit(float(bool(ones))))
-                continue
-            w = F.when(F.col("label") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones)))
-            m = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / n, standardization=False, maxIter=30, tol=1e-4).fit(y.withColumn("w", w))
-            out = m.transform(out).withColumn(f"p_{c}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        features = terms.features(f)
+        tr = features.transform(terms.rows.where(F.col("fold") != f)).select(set_col, "features")
+        out = features.transform(terms.rows.where(F.col("fold") == f)).select(key, "features")
+        n = sum(r.n for g, r in held.items() if g != f)
+        ones = [sum(r[f"ones{i}"] or 0 for g, r in held.items() if g != f) for i in range(len(labels))]
+
+        def fit(i: int, f: int = f, tr: DataFrame = tr, n: int = n, ones: list[float] = ones) -> None:
+            y = tr.withColumn("label", F.array_contains(set_col, labels[i]).cast("double"))
+            w = F.when(F.col("label") == 1, n / (2 * ones[i])).otherwise(n / (2 * (n - ones[i])))
+            fitted[f, i] = LogisticRegression(labelCol="label", weightCol="w", regParam=1.0 / n, standardization=False, maxIter=30, tol=1e-4).fit(y.withColumn("w", w))
+
+        todo += [lambda i=i, fit=fit: fit(i) for i in range(len(labels)) if n and ones[i] not in (0, n)]
+        tests.append((out, ones))
+    _together(rows.sparkSession, todo)
+    for f, (out, ones) in enumerate(tests):
+        for i, c in enumerate(labels):
+            if (f, i) in fitted:
+                out = fitted[f, i].transform(out).withColumn(f"p_{c}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+            else:
+                out = out.withColumn(f"p_{c}", F.lit(float(bool(ones[i]))))
         parts.append(out.drop("features"))
     got = parts[0]
     for x in parts[1:]:
