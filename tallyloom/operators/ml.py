@@ -72,14 +72,15 @@ def classifier(kind: str, label: str = "label", n: int = 1000, seed: int = 42):
 def cross_validate(rows: DataFrame, label: str, kind: str = "lr", k: int = 5, key: str = "doc_id", tokens_col: str = "toks", seed: int = 42) -> DataFrame:
     """key, truth, pred, p (array, for lr and rf) out of fold; the vocabulary is fitted within each training fold."""
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    dealt = written(folds(index.transform(rows), key, label, k, seed))
-    n, parts = dealt.count(), []
-    names = F.array(*map(F.lit, index.labels))
+    dealt = written(folds(index.transform(rows.select(key, tokens_col, label)), key, label, k, seed))
+    terms, parts = tfidf(tokens_col).by_fold(dealt, k), []
+    dropped(dealt)
+    n, names = terms.rows.count(), F.array(*map(F.lit, index.labels))
+    features = [terms.features(f) for f in range(k)]
+    fit = lambda f: classifier(kind, n=n, seed=seed).fit(features[f].transform(terms.rows.where(F.col("fold") != f)).select("label", "features"))
+    models = _together(rows.sparkSession, [lambda f=f: fit(f) for f in range(k)])
     for f in range(k):
-        train = dealt.where(F.col("fold") != f)
-        features = tfidf(tokens_col).fit(train)
-        model = classifier(kind, n=n, seed=seed).fit(features.transform(train).select("label", "features"))
-        got = model.transform(features.transform(dealt.where(F.col("fold") == f)))
+        got = models[f].transform(features[f].transform(terms.rows.where(F.col("fold") == f)))
         p = vector_to_array("probability") if kind != "svm" else F.lit(None).cast("array<double>")
         parts.append(got.select(key, F.col(label).alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("pred"), p.alias("p"), F.lit(f).alias("fold")))
     out = parts[0]
